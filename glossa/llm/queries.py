@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op1_ngram_jaccard_join
+from .mixing import op7_mixing
 from .packing import op5_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op5_packing": op5_packing,
+        "op7_mixing": op7_mixing,
     }
 
 
