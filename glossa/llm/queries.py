@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import op1_ngram_jaccard_join
 from .mixing import op7_mixing
 from .packing import op5_packing
+from .simhash import op10_simhash
+from .topk import OP4_SQL, op4_topk_search
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op4_topk_search": op4_topk_search,
         "op5_packing": op5_packing,
         "op7_mixing": op7_mixing,
+        "op8_toxicity": op8_toxicity,
+        "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk_search": OP4_SQL}
