@@ -12,11 +12,13 @@ from .packing import op5_packing
 from .simhash import op10_simhash
 from .topk import OP4_SQL, op4_topk_search
 from .toxicity import op8_toxicity
+from .urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_url_filter": op2_url_filter,
         "op4_topk_search": op4_topk_search,
         "op5_packing": op5_packing,
         "op7_mixing": op7_mixing,
