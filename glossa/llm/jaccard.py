@@ -162,10 +162,11 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int
         .select("b.band", "b.bucket", "size")
     )
     members = materialise(
-        reps.select("node", "bands", F.explode("bands").alias("bucket")).join(buckets, "bucket"), "members"
+        reps.select("node", F.explode("bands").alias("bucket")).join(buckets, "bucket"), "members"
     )
     cells = (
         _cells(members, block)
+        .join(reps.select("node", "bands"), "node")
         .join(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node")
         .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y")
