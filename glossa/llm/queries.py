@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op3_html_extract
 from .jaccard import op1_ngram_jaccard_join
+from .lm import op9_lm_score
 from .mixing import op7_mixing
 from .packing import op5_packing
 from .simhash import op10_simhash
@@ -19,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filter": op2_url_filter,
+        "op3_html_extract": op3_html_extract,
         "op4_topk_search": op4_topk_search,
         "op5_packing": op5_packing,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
+        "op9_lm_score": op9_lm_score,
         "op10_simhash": op10_simhash,
     }
 
