@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .counting import op6_token_counts
 from .html import op3_html_extract
 from .jaccard import op1_ngram_jaccard_join
 from .lm import op9_lm_score
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extract": op3_html_extract,
         "op4_topk_search": op4_topk_search,
         "op5_packing": op5_packing,
+        "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_lm_score": op9_lm_score,
