@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, WORD, read_table
+from .common import CACHE_WORDS, WORD, materialise, read_table
 
 #: At most so many examples of each label, those of least hash, are learnt from and indexed.
 MAX_EXAMPLES = 4096
@@ -54,50 +54,64 @@ class Features(dict):
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors as postings per term and block, with the largest weight of each term in each block."""
+    """Unit vectors as postings by (block, term), with the largest weight of each term in each block."""
 
     keys: np.ndarray
     width: int
     top: np.ndarray = field(repr=False)
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(repr=False)
+    starts: np.ndarray = field(repr=False)
+    at: np.ndarray = field(repr=False)
+    weight: np.ndarray = field(repr=False)
 
     @classmethod
     def build(cls, keys: list[int], vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
         # Examples that share their weightiest term lie together, so block maxima are tight.
         order = sorted(range(len(keys)), key=lambda i: (max(vectors[i], key=vectors[i].get), keys[i]))
         n_blocks = -(-len(keys) // block)
-        top, postings = np.zeros((n_blocks, n_terms)), []
-        for b in range(n_blocks):
-            lists: dict[int, tuple[list[int], list[float]]] = {}
-            for at, i in enumerate(order[b * block : (b + 1) * block]):
-                for t, w in vectors[i].items():
-                    lists.setdefault(t, ([], []))[0].append(at)
-                    lists[t][1].append(w)
-                    top[b, t] = max(top[b, t], w)
-            postings.append({t: (np.array(a), np.array(w)) for t, (a, w) in lists.items()})
-        return cls(np.array([keys[i] for i in order], dtype=np.int64), block, top, postings)
-
-    def search(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """The k highest (cosine, position), ties to the smaller key; cosines of 0 don't count."""
-        terms = list(query)
-        if not terms or not len(self.keys):
+        rows = [(pos // block * n_terms + t, pos, w) for pos, i in enumerate(order) for t, w in vectors[i].items()]
+        rows.sort()
+        slot = np.array([r[0] for r in rows], dtype=np.int64)
+        weight = np.array([r[2] for r in rows], dtype=float)
+        top = np.zeros(n_blocks * n_terms)
+        np.maximum.at(top, slot, weight)
+        starts = np.searchsorted(slot, np.arange(n_blocks * n_terms + 1))
+        own = np.array([keys[i] for i in order], dtype=np.int64)
+        return cls(own, block, top.reshape(n_blocks, n_terms), starts, np.array([r[1] for r in rows], dtype=np.int64), weight)
+
+    def search(self, query: dict[int, float], k: int, without: int | None = None, step: int = 8) -> list[tuple[float, int]]:
+        """The k highest (cosine, position), ties to the smaller key; cosines of 0 don't count.
+
+        Blocks are visited by descending bound, a few at a time, until the bound of the next is below the
+        k-th best cosine.
+        """
+        if not query or not len(self.keys):
             return []
-        bounds = self.top[:, terms] @ np.array([query[t] for t in terms])
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+        terms = np.fromiter(query, dtype=np.int64)
+        w = np.fromiter(query.values(), dtype=float)
+        bounds = self.top[:, terms] @ w
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        best, held = np.zeros(0), np.zeros(0, dtype=np.int64)
+        for i in range(0, len(order), step):
+            if len(best) == k and bounds[order[i]] < best[-1] - 1e-9:
                 break
-            scores = np.zeros(self.width)
-            for t in terms:
-                if t in self.postings[b]:
-                    at, w = self.postings[b][t]
-                    scores[at] += query[t] * w
-            for at in np.flatnonzero(scores > 0):
-                pos = int(b) * self.width + int(at)
-                if pos != without:
-                    best.append((-round(float(scores[at]), 12), int(self.keys[pos]), pos))
-            best = sorted(best)[:k]
-        return [(-c, pos) for c, _, pos in best]
+            slots = (order[i : i + step, None] * self.top.shape[1] + terms).ravel()
+            a = self.starts[slots]
+            n = self.starts[slots + 1] - a
+            flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            part = self.weight[flat] * np.repeat(np.tile(w, len(slots) // len(w)), n)
+            scores = np.bincount(self.at[flat], weights=part)
+            pos = np.flatnonzero(scores)
+            if without is not None:
+                pos = pos[pos != without]
+            if len(best) == k:
+                pos = pos[scores[pos] > best[-1] - 1e-9]
+            if len(pos):
+                held = np.concatenate([held, pos])
+                best = np.concatenate([best, np.round(scores[pos], 12)])
+                top = np.lexsort((self.keys[held], -best))[:k]
+                held, best = held[top], best[top]
+        return list(zip(best.tolist(), held.tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[list[float], list[float]]:
@@ -181,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     without terms that go with them, every score is the share of the label (1/2 if there is none).
     """
     examples, counts = _examples(docs, labels, max_examples)
+    examples = materialise(examples, "examples")
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -197,12 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
                 schema=pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())]),
             )
 
-    stats = (
+    stats = materialise(
         examples.select("text", "label")
         .mapInArrow(count_terms, "term string, n0 long, n1 long")
         .groupBy("term")
         .agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-        .filter("n0 + n1 > 2")
+        .filter("n1 > 2 or n0 > 20"),
+        "terms",
     )
     sizes = stats.filter("term = ''").first()
     n0, n1 = (sizes["n0"], sizes["n1"]) if sizes else (0.0, 0.0)
@@ -268,7 +284,7 @@ def _model(found: list[tuple[int, int, dict]], counts: dict[int, int], terms: li
     model = Model(
         terms,
         idf,
-        BlockMaxIndex(np.array([], dtype=np.int64), BLOCK, np.zeros((0, len(terms))), []),
+        BlockMaxIndex.build([], [], len(terms)),
         np.array([]),
         np.array([]),
         (w1 + prior) / (w1 + w0 + 1),
