@@ -71,12 +71,12 @@ def swap_tokens(lists: list[tuple[str, ...]]) -> Generator:
 
     def gen(c: Column) -> Column:
         words = F.split(c, " ")
-        out = []
-        for group in lists:
-            for new in group:
-                put = lambda i, new=new: F.array_join(F.transform(words, lambda w, k: F.when(k == i, F.lit(new)).otherwise(w)), " ")
-                at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i, g=group: F.lower(F.get(words, i)).isin(*g))
-                out.append(F.transform(at, put))
+
+        def swapped(group: tuple[str, ...], new: str) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.lower(F.get(words, i)).isin(*group))
+            return F.transform(at, lambda i: F.array_join(F.transform(words, lambda w, k: F.when(k == i, F.lit(new)).otherwise(w)), " "))
+
+        out = [swapped(group, new) for group in lists for new in group]
         return _new(F.concat(*out), c)
 
     return gen
