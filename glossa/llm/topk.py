@@ -1,10 +1,10 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Components become integers. A block of vectors is indexed by posting segments: per dimension, the
-vectors whose component has one quantised magnitude. A query visits segments by descending quantised
-impact |q| * |v| and adds their exact products. What it hasn't seen of a vector is bounded by Cauchy and
-Schwarz over the rest of both, so the search ends when that proves all but a few vectors to be out of
-the top k; those few are scored exactly from their rows.
+Components become integers. A block of vectors is indexed by posting segments: those components whose
+quantised magnitude lies in one range, by dimension. Queries visit segments by descending impact and add
+exact products, many queries at a time. What they haven't seen of a vector is bounded by Cauchy and
+Schwarz: the query's length times that of the vector's unseen components. A query ends only when that
+proves all but a few vectors to be out of its top k; those few are scored exactly from their rows.
 """
 
 from __future__ import annotations
@@ -21,68 +21,77 @@ from .jaccard import grouped
 
 #: Vectors of an index block and queries of a query block.
 BLOCK, QUERIES = 16_384, 4_096
-#: Searches stop to prove after segments with these shares of the possible impact.
-STEPS = (0.35, 0.22, 0.13, 0.07, 0.03, 0.0)
+#: Shares of the vectors' energy that the segments down to each one hold.
+ENERGY = (0.55, 0.8, 0.93, 0.99, 1.0)
+LEVELS = 64
+#: Queries that share a pass over a segment, and vectors that may be left for exact scores.
+TOGETHER, FEW = 128, 512
 
 
 class ImpactIndex:
-    """Vectors of one block with their posting segments by (dimension, quantised magnitude)."""
+    """Vectors of one block with their posting segments by quantised magnitude."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = 12):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.exact = rows.astype(np.float64) if np.abs(rows).max(initial=0) < 2**22 else None
-        self.norms = (rows.astype(np.float64) ** 2).sum(axis=1)
-        top = int(np.abs(rows).max(initial=0))
-        self.unit = max(1, -(-top // levels))
-        self.segments: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for d in range(rows.shape[1]):
-            level = -(-np.abs(rows[:, d]) // self.unit)
-            order = np.argsort(-level, kind="stable")
-            cuts = np.flatnonzero(np.diff(level[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part) and level[part[0]]:
-                    self.segments.append((d, int(level[part[0]]), part, rows[part, d].astype(np.float64)))
-        self.dims = np.array([s[0] for s in self.segments], dtype=np.int64)
-        self.level = np.array([s[1] for s in self.segments], dtype=np.float64)
+        size = np.abs(rows)
+        self.top = int(size.max(initial=0))
+        exact = self.top < 2**20
+        self.kind = np.float32 if exact and self.top**2 * max(1, rows.shape[1]) < 2**24 else np.float64
+        self.dense = rows.astype(np.float64) if exact else None
+        unit = max(1, -(-(self.top + 1) // LEVELS))
+        level = size // unit
+        energy = np.bincount(level.ravel(), weights=rows.astype(np.float64).ravel() ** 2, minlength=LEVELS)[::-1].cumsum()
+        cuts = sorted({int(LEVELS - 1 - np.searchsorted(energy, e * energy[-1] * (1 - 1e-12))) for e in ENERGY[:-1]} | {0}, reverse=True)
+        #: (dimension, vector) matrices of the components of each segment, and what is unseen after it.
+        self.segments, self.rest = [], []
+        above = LEVELS
+        for cut in cuts:
+            part = (level >= cut) & (level < above)
+            self.segments.append(np.where(part, rows, 0).T.astype(self.kind))
+            self.rest.append(np.sqrt(np.where(level < cut, rows.astype(np.float64) ** 2, 0).sum(axis=1)).astype(self.kind))
+            above = cut
 
     def scores(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.exact is not None and np.abs(query).max(initial=0) < 2**22:
-            return (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
+        if self.dense is not None and np.abs(query).max(initial=0) < 2**20:
+            return (self.dense[at] @ query.astype(np.float64)).astype(np.int64)
         return (self.rows[at] * query).sum(axis=1)
 
-    def search(self, query: np.ndarray, k: int, own: int | None, floor: int | None) -> list[tuple[int, int]]:
-        """(score, id) of the k best but ``own``, best first, ties to the smaller id.
-
-        Vectors below ``floor``, a k-th score that is known from elsewhere, may be left out.
-        """
-        n = len(self.ids)
-        if n <= 4 * k or not len(self.segments):
-            return self._best(query, np.arange(n), k, own)
-        q = query.astype(np.float64)
-        impact = np.abs(q)[self.dims] * self.level
-        order = np.argsort(-impact, kind="stable")
-        acc, rest_v = np.zeros(n), self.norms.copy()
-        rest_q = np.full(n, float((q**2).sum()))
-        bar, possible, done = floor, np.arange(n), 0
-        for share in STEPS:
-            stop = int(np.searchsorted(-impact[order], -share * impact[order[0]], side="left")) if share else len(order)
-            for s in order[done:stop]:
-                d, _, at, v = self.segments[s]
-                acc[at] += q[d] * v
-                rest_v[at] -= v * v
-                rest_q[at] -= q[d] * q[d]
-            done = stop
-            if bar is None and n > 8 * k:
+    def search(self, queries: np.ndarray, own: list[int | None], k: int) -> list[list[tuple[int, int]]]:
+        """For each query (score, id) of the k best but its own id, best first, ties to the smaller id."""
+        n, out = len(self.ids), []
+        wide = np.abs(queries).max(initial=0) * self.top * max(1, queries.shape[1])
+        if n <= max(FEW, 8 * k) or self.dense is None or wide >= 2**50:
+            return [self._best(q, np.arange(n), k, o) for q, o in zip(queries, own)]
+        kind = self.kind if wide < 2**24 else np.float64
+        for a in range(0, len(queries), TOGETHER):
+            out += self._together(queries[a : a + TOGETHER], own[a : a + TOGETHER], k, kind)
+        return out
+
+    def _together(self, queries: np.ndarray, own: list[int | None], k: int, kind: type) -> list[list[tuple[int, int]]]:
+        found: list[list[tuple[int, int]] | None] = [None] * len(queries)
+        q = queries.astype(kind)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)).astype(kind)
+        open_ = np.arange(len(queries))
+        acc, bar = np.zeros((len(queries), len(self.ids)), dtype=kind), None
+        for s, (segment, rest) in enumerate(zip(self.segments, self.rest)):
+            acc += q[open_] @ segment
+            if bar is None:
                 # Exact scores of the best so far: no member of the top k is below their k-th.
-                first = np.argpartition(-acc, 4 * k)[: 4 * k]
-                got = self._best(query, first, k, own)
-                bar = got[-1][0] if len(got) == k else None
-            if bar is not None:
-                bound = acc[possible] + np.sqrt(np.maximum(rest_v[possible], 0) * np.maximum(rest_q[possible], 0))
-                possible = possible[bound >= bar - 1e-6 * (1 + abs(bar))]
-                if len(possible) <= max(4 * k, n // 16):
-                    break
-        return self._best(query, possible, k, own)
+                first = np.argpartition(acc, -4 * k, axis=1)[:, -4 * k :]
+                exact = np.einsum("qkd,qd->qk", self.dense[first], queries.astype(np.float64))
+                exact[self.ids[first] == np.array([np.iinfo(np.int64).min if o is None else o for o in own])[:, None]] = -np.inf
+                bar = np.partition(exact, -k, axis=1)[:, -k]
+            slack = 1e-5 * (1 + np.abs(bar[open_]))
+            possible = acc + length[open_, None] * rest >= (bar[open_] - slack)[:, None].astype(kind)
+            last = s == len(self.segments) - 1
+            ready = np.ones(len(open_), dtype=bool) if last else possible.sum(axis=1) <= FEW
+            for i in np.flatnonzero(ready):
+                j = open_[i]
+                found[j] = self._best(queries[j], np.flatnonzero(possible[i]), k, own[j])
+            open_, acc = open_[~ready], acc[~ready]
+            if not len(open_):
+                break
+        return found
 
     def _best(self, query: np.ndarray, at: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
         if own is not None:
@@ -153,11 +162,8 @@ def top_k(
                 index = ImpactIndex(np.array(part["vec_id"], dtype=np.int64), _matrix(part["v"], width))
                 at = (part["x"][0], part["y"][0])
             elif at == (part["x"][0], part["y"][0]):
-                out = [
-                    (key, i, s)
-                    for key, q in zip(part["vec_id"], _matrix(part["v"], width))
-                    for s, i in index.search(q, k, key, None)
-                ]
+                hits = index.search(_matrix(part["v"], width), part["vec_id"], k)
+                out = [(key, i, s) for key, found in zip(part["vec_id"], hits) for s, i in found]
                 if out:
                     yield to_batch(schema, zip(*out))
 
