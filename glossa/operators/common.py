@@ -1,7 +1,9 @@
-"""Join hints behind a size check."""
+"""Join hints behind a size check, and checkpoints."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +14,14 @@ BROADCAST_ROWS = 1_000_000
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the table has no more rows than the limit; the table itself otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to ``spark.checkpoint.dir`` and read back, so plans stay short and lost executors don't matter.
+
+    Only where that is unset (tests, one machine) a temporary folder is used.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glossa-"))
+    return df.checkpoint()

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evaluation, linking, ner, text
+from . import curation, evaluation, jobs, linking, ner, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (text, curation, ner, linking, evaluation)
+_MODULES = (text, curation, ner, linking, evaluation, jobs)
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import cascade as Q
 from ..operators import link as L
 from ..operators import strategies as T
+from ..operators.common import checkpointed
 from .fixtures import catalogue, lexicon, table
 from .ner import MENTIONS, mentions
 
@@ -185,7 +186,8 @@ def disamb_annotation_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANNOT_SQL = """WITH s AS (SELECT upper(p_name) AS key, p_brand AS set_key, CAST(p_partkey AS VARCHAR) AS idx, p_size FROM part),
-g AS (SELECT key, set_key, max(p_size) AS m FROM s GROUP BY ALL QUALIFY rank() OVER (PARTITION BY key ORDER BY max(p_size) DESC) = 1)
+a AS (SELECT key, set_key, max(p_size) AS m FROM s GROUP BY key, set_key),
+g AS (SELECT * FROM a QUALIFY rank() OVER (PARTITION BY key ORDER BY m DESC) = 1)
 SELECT key, set_key, idx FROM s JOIN g USING (key, set_key)"""
 
 
@@ -272,7 +274,7 @@ def strategy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         Q.Level(50, False, [Q.Strategy("exact", T.exact_match, [("elsewhere", elsewhere), ("annotation", annotated)])]),
         Q.Level(10, False, [Q.Strategy("exact_essential", T.exact_match, [("elsewhere", elsewhere)], essential=True)]),
     ]
-    out = Q.run(links, sets, levels)
+    out = Q.run(checkpointed(links), checkpointed(sets), levels, cut=checkpointed)
     return out.select("key", "parser", "idx", "strategy", "disambiguation", F.coalesce("disambiguation_confidence", F.lit("")).alias("disambiguation_confidence"))
 
 
