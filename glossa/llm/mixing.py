@@ -23,7 +23,7 @@ from .common import materialise, read_table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents of a shard, about: what one task sorts. One row per shard comes to the driver.
-SHARD_DOCS = 100_000
+SHARD_DOCS = 20_000
 #: One row per source comes to the driver; more sources than this are refused.
 MAX_SOURCES = 100_000
 
@@ -171,29 +171,32 @@ def quotas(
     rule, block = plan(
         spark, [(r["mix_key"], r["mix_shard"], r["n"]) for r in shards], weights, max_repeats, seed, max_block
     )
-    rule = rule.withColumnsRenamed({"m_source": "r_key", "m_shard": "r_shard"})
+    rule = rule.select(
+        F.col("m_source").alias("mix_r_key"),
+        F.col("m_shard").alias("mix_r_shard"),
+        *(F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "passes", "rest", "blocks", "a", "c")),
+    )
     order = Window.partitionBy("mix_key", "mix_shard").orderBy(
         F.expr(f"xxhash64({seed + 1}L, doc_id, mix_size)"), "doc_id", "mix_size"
     )
     before = F.coalesce(F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = f"""transform(
         filter(
-            if(mix_size > 0 and rest > 0, sequence(mix_at div {block}L, (mix_at + mix_size - 1) div {block}L), array()),
-            b -> pmod(a * b + c, blocks) < rest),
+            if(mix_size > 0 and mix_rest > 0, sequence(mix_at div {block}L, (mix_at + mix_size - 1) div {block}L), array()),
+            b -> pmod(mix_a * b + mix_c, mix_blocks) < mix_rest),
         b -> struct(greatest(b * {block}L - mix_at, 0L) as start, least((b + 1) * {block}L - mix_at, mix_size) as stop))"""
     placed = sharded(docs).withColumn("mix_at", before)
     return (
         placed.join(
             F.broadcast(rule) if len(shards) < 50_000 else rule,
-            F.col("mix_key").eqNullSafe(F.col("r_key")) & (F.col("mix_shard") == F.col("r_shard")),
+            F.col("mix_key").eqNullSafe(F.col("mix_r_key")) & (F.col("mix_shard") == F.col("mix_r_shard")),
         )
         .withColumn("mix_ranges", F.expr(ranges))
         .withColumn(
             "mix_taken",
-            F.expr("passes * mix_size + aggregate(mix_ranges, 0L, (s, r) -> s + r.stop - r.start)"),
+            F.expr("mix_passes * mix_size + aggregate(mix_ranges, 0L, (s, r) -> s + r.stop - r.start)"),
         )
-        .withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target", "passes": "mix_passes"})
-        .drop("r_key", "r_shard", "rest", "blocks", "a", "c", "mix_at", "mix_shard", "mix_key")
+        .drop("mix_r_key", "mix_r_shard", "mix_rest", "mix_blocks", "mix_a", "mix_c", "mix_at", "mix_shard", "mix_key")
     )
 
 
