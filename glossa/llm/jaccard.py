@@ -150,7 +150,10 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int = BLOCK) -> DataFrame:
-    """node, n_links, root per cell and linked representative; ``reps`` has node and bands."""
+    """node, n_links, root per cell and linked representative; ``reps`` has node and bands.
+
+    All sides of its joins grow with the corpus, so they are merged at every size and never broadcast.
+    """
     spread = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
         spread.groupBy("bucket")
@@ -162,12 +165,12 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int
         .select("b.band", "b.bucket", "size")
     )
     members = materialise(
-        reps.select("node", F.explode("bands").alias("bucket")).join(buckets, "bucket"), "members"
+        reps.select("node", F.explode("bands").alias("bucket")).join(buckets.hint("merge"), "bucket"), "members"
     )
     cells = (
         _cells(members, block)
-        .join(reps.select("node", "bands"), "node")
-        .join(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node")
+        .join(reps.select("node", "bands").hint("merge"), "node")
+        .join(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).hint("merge"), "node")
         .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y")
     )
@@ -289,7 +292,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     groups = materialise(near_duplicates(docs, **options), "groups")
     gone = groups.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
     names = docs.columns
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     again = groups.filter("doc_id = class_id and n_copies > 1").groupBy("doc_id").count().filter("count > 1")
     if again.limit(1).count() == 0:
         return kept.select(names)
