@@ -19,7 +19,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 
 WORD = re.compile(r"\w+")
 #: Words kept in a worker's hash cache; words beyond it are hashed again in each batch.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -84,19 +84,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rows(batches: Iterator[pa.RecordBatch], max_chars: int, column: str = "text") -> Iterator[dict[str, list]]:
-    """Arrow batches as dicts of lists, cut so that the texts of each hold about ``max_chars`` characters."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
     for batch in batches:
-        cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        start = chars = 0
-        texts = cols[column]
-        for i, t in enumerate(texts):
-            chars += len(t) if t is not None else 0
-            if chars >= max_chars:
-                yield {n: v[start : i + 1] for n, v in cols.items()}
-                start, chars = i + 1, 0
-        if start < len(texts):
-            yield {n: v[start:] for n, v in cols.items()}
+        for k in range(0, batch.num_rows, size):
+            yield batch.slice(k, size)
+
+
+def rows(batches: Iterator[pa.RecordBatch], max_chars: int, column: str = "text") -> Iterator[dict[str, list]]:
+    """Arrow batches as dicts of lists, cut where the texts of one hold ``max_chars`` characters."""
+    held: dict[str, list] = {}
+    chars = n_rows = 0
+    for batch in slices(batches, 100):
+        for name, v in zip(batch.schema.names, batch.columns):
+            held.setdefault(name, []).extend(v.to_pylist())
+        chars += sum(len(t) for t in held[column][n_rows:] if t is not None)
+        n_rows += batch.num_rows
+        if chars >= max_chars or n_rows >= 20_000:
+            yield held
+            held, chars, n_rows = {}, 0, 0
+    if held:
+        yield held
 
 
 def to_batch(schema: pa.Schema, cols: Iterable) -> pa.RecordBatch:

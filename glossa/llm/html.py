@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, slices
 from .urls import split_url
 
 #: Paths that a host keeps, and the share of its votes that each must have.
@@ -278,7 +278,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             votes.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(html or "")
                 found = page.containers()[:3]
@@ -328,12 +328,12 @@ def extract(pages: DataFrame) -> DataFrame:
     paths = materialise(host_paths(lean.select("url", "html")), "paths")
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h = pa.array([split_url(u)[0] for u in batch.column("url").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, h], names=[*batch.schema.names, "host"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [p or [] for p in batch.column("paths").to_pylist()]
             texts = [main_text(h, p) for h, p in zip(batch.column("html").to_pylist(), own)]
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, slices
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents of a shard, about: what one task sorts. One row per shard comes to the driver.
@@ -209,7 +209,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     word = re.compile(WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, texts = [], []
             rows = (batch.column(n).to_pylist() for n in ("text", "mix_passes", "mix_ranges"))
             for i, (text, passes, ranges) in enumerate(zip(*rows)):

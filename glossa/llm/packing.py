@@ -28,7 +28,7 @@ _ARROW = pa.schema(
     + [("cost", pa.float64())]
 )
 #: A window ends at so many documents or tokens; both bound a task's memory.
-WINDOW_DOCS, WINDOW_TOKENS = 4096, 6_000_000
+WINDOW_DOCS, WINDOW_TOKENS = 4096, 4_000_000
 
 
 def assign(

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, materialise, mix64, read_table, to_batch
+from .common import WORD, WordHashes, materialise, mix64, read_table, slices, to_batch
 from .jaccard import gram_hashes, grouped
 
 BITS = 64
@@ -75,7 +75,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int | None] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for b, k in zip(buckets(batch.column("doc_id")).tolist(), batch.column("doc_id").to_pylist()):
                 least[b] = k if k is None else min(k, least.get(b, k))
         yield pa.RecordBatch.from_arrays(
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column("doc_id")
             raw = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
             own = buckets(keys).tolist()
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, n: int = 2, partitions: int | None = None) ->
         held: tuple[int | None, str, int] | None = None
         bucket = None
         out = []
-        for batch in batches:
+        for batch in slices(batches):
             for key, raw, b, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "bucket", "tail"))):
                 text = z.decompress(raw).decode()
                 own = f.of(text)

@@ -13,7 +13,7 @@ import numpy as np
 from .common import TOKENIZER_DIR, one_thread
 
 #: White-space words whose ids a worker keeps; any beyond it are encoded anew in each batch.
-CACHE = 400_000
+CACHE = 300_000
 _TOP = 0x180
 #: Texts with other characters (or U+0130, which lower-cases to two; or separators that only Python
 #: calls white space) go to the library whole.

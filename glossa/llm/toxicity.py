@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, WORD, materialise, read_table
+from .common import CACHE_WORDS, WORD, materialise, read_table, slices
 
 #: At most so many examples of each label, those of least hash, are learnt from and indexed.
 MAX_EXAMPLES = 4096
@@ -31,8 +31,8 @@ THRESHOLD = 0.3
 
 
 def word_terms(word: str) -> tuple[str, ...]:
-    """A word's terms: itself and the beginnings that are shorter than it."""
-    return (word, *(word[:k] + "*" for k in (4, 5) if len(word) > k))
+    """A word's terms: itself and its beginnings of 4 and 5 characters (a word may be its own beginning)."""
+    return (word, *(word[:k] + "*" for k in (4, 5) if len(word) >= k))
 
 
 class Features(dict):
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 words = set(WORD.findall((text or "").lower()))
                 seen[label].update({t for w in words for t in word_terms(w)})
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     def count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, df = Features(terms), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 df[-1] += 1
                 df.update(features.counts(text).keys())
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     def example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(terms)
-        for batch in batches:
+        for batch in slices(batches):
             found = [features.counts(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         features, known = Features(m.terms), {}
-        for batch in batches:
+        for batch in slices(batches):
             scores, evidence = [], []
             for text in batch.column("text").to_pylist():
                 counts = features.counts(text)

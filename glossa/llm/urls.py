@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 #: Labelled urls that a model is fitted on, at most: those of least hash.
 MAX_LABELLED = 20_000
@@ -212,7 +212,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
     lean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             urls = list(dict.fromkeys(u for u in batch.column("url").to_pylist() if u))
             hits = [(u, m[1] == "block") for u in urls if (m := rules.match(*split_url(u)))]
             yield pa.RecordBatch.from_arrays(
@@ -231,7 +231,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
     model = spark.sparkContext.broadcast(UrlModel.fit([r["url"] for r in sample], [r["blocked"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             urls = [u or "" for u in batch.column("url").to_pylist()]
             parts = [split_url(u) for u in urls]
             found = [rules.match(*p) for p in parts]
