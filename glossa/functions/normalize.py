@@ -87,17 +87,26 @@ def remove_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N} ()+\-‐]", "")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def depluralize(c: Column) -> Column:
     """The singular of an English plural, for strings of more than three characters."""
-    n = F.length(c)
-    cut = lambda k: c.substr(F.lit(1), n - k)
-    return (
-        F.when((n <= 3) | ~c.endswith("s") | c.endswith("sis"), c)
-        .when(c.endswith("oes"), cut(2))
-        .when(c.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when(c.rlike("(xes|ses|ches|shes)$"), cut(2))
-        .otherwise(cut(1))
-    )
+
+    def singular(x: Column) -> Column:
+        n = F.length(x)
+        cut = lambda k: x.substr(F.lit(1), n - k)
+        return (
+            F.when((n <= 3) | ~x.endswith("s") | x.endswith("sis"), x)
+            .when(x.endswith("oes"), cut(2))
+            .when(x.endswith("ies"), F.concat(cut(3), F.lit("y")))
+            .when(x.rlike("(xes|ses|ches|shes)$"), cut(2))
+            .otherwise(cut(1))
+        )
+
+    return let(c, singular)
 
 
 def expand_initials(c: Column) -> Column:
@@ -161,15 +170,12 @@ def normalize(c: Column, entity_class: str | None = None) -> Column:
 
 
 def normalize_by(c: Column, cls: Column) -> Column:
-    """``normalize`` where the class is a column."""
-    out = F.when(F.lit(False), c)
-    for name in _CLASSES:
-        out = out.when(cls == name, normalize(c, name))
-    return out.otherwise(normalize(c))
+    """``normalize`` where the class is a column; the long chain for phrases is there once."""
+    symbol = F.when(cls == "gene", gene_normalize_symbol(c)).when(cls == "company", F.upper(c)).otherwise(normalize_symbol(c))
+    return F.when(symbolic_by(c, cls), symbol).otherwise(normalize_phrase(c))
 
 
 def symbolic_by(c: Column, cls: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(False))
-    for name in _CLASSES:
-        out = out.when(cls == name, classify_symbolic(c, name))
-    return out.otherwise(is_symbolic(c))
+    """``classify_symbolic`` where the class is a column."""
+    out = F.when(cls == "gene", gene_is_symbolic(c)).when(cls == "anatomy", F.lit(False)).when(cls == "company", company_is_symbolic(c))
+    return out.otherwise(is_symbolic(c) & ~((cls == "disease") & c.isin(*DISEASE_NOUNS)))

@@ -7,7 +7,7 @@ from glossa.functions import normalize as N
 from glossa.functions import text as X
 
 GOLDEN = [
-    ("MOP-2", None, "MOP 2"),
+    ("MOP-2", "gene", "MOP 2"),
     ("y(+)L-type amino acid transporter 1", None, "Y (+) L TYPE AMINO ACID TRANSPORTER 1"),
     ("mTOR", "gene", "MTOR"),
     ("erbB2", "gene", "ERBB 2"),
