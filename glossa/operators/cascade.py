@@ -48,7 +48,8 @@ def run(
     ``links`` has key, doc_id, parser, confidence, symbolic and what the strategies read; ``sets`` has
     key, doc_id, parser, syn_norm, set_key, idx. A pass sees the mappings of the passes before it, never
     of its own. A parser is resolved for a key by its first mapping; with ``stop_on_success`` the whole
-    key is. ``cut`` may materialise the mappings between passes, so the plan stays short.
+    key is. ``cut`` may materialise what a pass starts from and makes, so plans stay short; passes without
+    links are skipped.
     """
     done: DataFrame | None = None
     for level in levels:
@@ -58,15 +59,17 @@ def run(
             if done is not None:
                 todo = todo.join(done.select(*(["key"] if stop_on_success else PER)).distinct(), ["key"] if stop_on_success else PER, "left_anti")
             kept = strategy.keep(todo).select("key", "parser", "syn_norm").distinct()
-            own = sets.join(kept, ["key", "parser", "syn_norm"], "left_semi")
-            new = _settle(own, strategy, done)
+            own = cut(sets.join(kept, ["key", "parser", "syn_norm"], "left_semi"))
+            if done is not None and own.isEmpty():
+                continue
+            new = _settle(own, strategy, done, cut)
             done = cut(new if done is None else done.unionByName(new))
     if done is None:
         raise ValueError("no strategies")
     return done
 
 
-def _settle(own: DataFrame, strategy: Strategy, done: DataFrame | None) -> DataFrame:
+def _settle(own: DataFrame, strategy: Strategy, done: DataFrame | None, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     def out(df: DataFrame, how: str, sure: str | None) -> DataFrame:
         return df.select(
             "key", "doc_id", "parser", "idx", F.lit(strategy.name).alias("strategy"), F.lit(strategy.confidence).alias("confidence"),
@@ -78,13 +81,13 @@ def _settle(own: DataFrame, strategy: Strategy, done: DataFrame | None) -> DataF
     if not strategy.essential:
         one = single(rest)
         found.append(out(one, "not_required", None))
-        rest = rest.join(one.select(*PER).distinct(), PER, "left_anti")
+        rest = cut(rest.join(one.select(*PER).distinct(), PER, "left_anti"))
     for name, choose in strategy.choose:
         # Before anything is mapped, nothing is defined elsewhere in a document.
         mapped = done if done is not None else own.limit(0)
-        one = single(choose(rest, mapped))
+        one = cut(single(choose(rest, mapped)))
         found.append(out(one, name, "HIGHLY_LIKELY"))
-        rest = rest.join(one.select(*PER).distinct(), PER, "left_anti")
+        rest = cut(rest.join(one.select(*PER).distinct(), PER, "left_anti"))
     if not strategy.essential:
         found.append(out(rest, "none", "AMBIGUOUS"))
     result = found[0] if found else out(own.limit(0), "none", None)
