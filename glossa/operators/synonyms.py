@@ -13,7 +13,7 @@ from .curation import DROP, POSSIBLE, PROBABLE
 
 Generator = Callable[[Column], Column]
 
-STOP_WORDS = ("of", "and", "in", "to", "with", "caused", "involved", "by", "the")
+STOP_WORDS = ("and", "by", "caused", "in", "involved", "of", "the", "to", "with")
 DASHES = ("−", "-", *(chr(c) for c in range(0x2010, 0x2016)))
 
 

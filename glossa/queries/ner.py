@@ -182,6 +182,16 @@ FROM part WHERE len(string_split(p_name, ' ')) BETWEEN 2 AND 9
 """
 
 
+_PROPAGATE_SQL = """
+WITH p AS (SELECT p_partkey AS doc_id, p_name AS n, upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '')) AS sh FROM part
+  WHERE len(string_split(p_name, ' ')) BETWEEN 2 AND 9),
+q AS (SELECT doc_id, 0 AS s, length(n) AS k, n AS match, 'dictionary' AS namespace FROM p
+  UNION ALL SELECT doc_id, length(n) + 2, length(sh), sh, 'abbreviation' FROM p
+  UNION ALL SELECT doc_id, length(n) + length(sh) + 17, length(sh), sh, 'abbreviation' FROM p)
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + k AS INTEGER) AS "end", match, 'product' AS entity_class, namespace FROM q
+"""
+
+
 def abbrev_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     secs = _defining(spark, sf_dir)
     names = table(spark, sf_dir, "part").select("p_name").distinct()
@@ -296,7 +306,7 @@ CATALOGUE = {
     "bio_spans_multi": (bio_spans_multi, _MULTI_SQL),
     "split_numeric_list": (split_numeric_list, _SPLIT_SQL),
     "abbrev_candidates": (abbrev_candidates, _ABBREV_SQL),
-    "abbrev_propagate": (abbrev_propagate, None),
+    "abbrev_propagate": (abbrev_propagate, _PROPAGATE_SQL),
     "majority_vote": (
         majority_vote,
         f"WITH v AS (SELECT match, entity_class, count(*) AS votes FROM ({_EVENT_CLASSES}) GROUP BY ALL) "
