@@ -22,6 +22,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Only where that is unset (tests, one machine) a temporary folder is used.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glossa-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glossa-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
