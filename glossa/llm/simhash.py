@@ -243,5 +243,11 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6, block
     )
 
 
+def with_near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """The rows of ``prints`` (fingerprint, any others) with n_docs and n_near of their fingerprints."""
+    kept = materialise(prints, "fingerprints")
+    return kept.join(near_fingerprints(kept, radius, blocks), "fingerprint", "left").select(*kept.columns, "n_docs", "n_near")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read_table(spark, sf_dir, "documents"))
+    return with_near(fingerprints(read_table(spark, sf_dir, "documents")))

@@ -4,7 +4,7 @@ import hashlib
 
 from helpers import documents, random_text, rng, words
 
-from glossa.llm.simhash import Fingerprinter, block_masks, edited, fingerprints, likeness, near_fingerprints
+from glossa.llm.simhash import Fingerprinter, block_masks, edited, fingerprints, likeness, near_fingerprints, op10_simhash
 
 
 def test_masks_meet_within_the_radius():
@@ -60,3 +60,17 @@ def test_all_neighbours(spark):
     for block in (1024, 2):
         got = {r["fingerprint"]: (r["n_docs"], r["n_near"]) for r in near_fingerprints(table, block=block).collect()}
         assert got == want
+
+
+def test_the_query_finds_near_fingerprints(spark, tmp_path):
+    rnd = rng(4)
+    long = words(rnd, 3000, 2000)
+    rows = [(i, " ".join(words(rnd, 50, 2000))) for i in range(30)] + [(100, " ".join(long)), (101, " ".join([*long, "more"])), (102, "same text"), (103, "same text"), (104, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_simhash(spark, str(tmp_path)).collect()}
+    prints = {k: int(r["fingerprint"], 16) for k, r in got.items()}
+    assert len(got) == len(rows)
+    for k, r in got.items():
+        near = {v for v in prints.values() if v != prints[k] and (v ^ prints[k]).bit_count() <= 3}
+        assert (r["n_docs"], r["n_near"]) == (list(prints.values()).count(prints[k]), len(near))
+    assert got[102]["n_docs"] == 2 and got[100]["n_near"] + got[100]["n_docs"] > 1
