@@ -1,7 +1,7 @@
 """URL filters: rules by longest match, and gradient-boosted trees on lexical features for the rest.
 
-The rules label the urls they fit; the trees learn from a bounded sample of those labels and judge the
-urls that no rule fits.
+The rules label the urls they fit; suffix statistics count all of those labels, the trees learn from a
+bounded sample of them and judge the urls that no rule fits.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import materialise, read_table, slices
 
-#: Labelled urls that a model is fitted on, at most: those of least hash.
+#: Labelled urls that trees are fitted on, at most: those of least hash, half of each label if there are so many.
 MAX_LABELLED = 20_000
+#: Parts of the labelled urls: a training url's statistics come from the other parts.
+FOLDS = 5
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _HOST = re.compile(r"[^/?#]*")
 _PATH = re.compile(r"[^?#]*")
@@ -71,10 +74,13 @@ def _suffixes(host: str, path: str) -> tuple[str, str, str]:
     return "s:" + host.rsplit(".", 1)[-1], "f:" + (last.rsplit(".", 1)[1] if "." in last else ""), "p:" + (parts[1] if len(parts) > 2 else "")
 
 
-def _features(url: str, host: str, path: str, stats: dict[str, tuple[float, float]], prior: float) -> list[float]:
+def _fold(url: str) -> int:
+    return xxhash.xxh3_64_intdigest(url) % FOLDS
+
+
+def _features(url: str, host: str, path: str, keys: Sequence[tuple[float, float]]) -> list[float]:
     query = url.partition("?")[2].partition("#")[0]
     digits = sum(c.isdigit() for c in url)
-    keys = [stats.get(k, (prior, 0.0)) for k in _suffixes(host, path)]
     return [
         len(url), len(host), len(path), len(query), host.count("."), path.count("/"), digits / max(1, len(url)),
         sum(c.isdigit() for c in host) / max(1, len(host)), url.count("-"), _entropy(url), _entropy(host),
@@ -83,8 +89,21 @@ def _features(url: str, host: str, path: str, stats: dict[str, tuple[float, floa
     ]
 
 
-def _key_stats(counts: dict[str, list[float]], prior: float) -> dict[str, tuple[float, float]]:
-    return {k: ((y + 4 * prior) / (n + 4), math.log1p(n)) for k, (y, n) in counts.items()}
+def _key_stats(y: float, n: float, prior: float) -> tuple[float, float]:
+    """Rate and count of a suffix of which y of n labelled urls are blocked."""
+    return (y + 4 * prior) / (n + 4), math.log1p(n)
+
+
+def _suffix_counts(urls: Sequence[str], blocked: Sequence[int]) -> dict[tuple[str, int], list[int]]:
+    """[blocked, all] of the urls by suffix and fold."""
+    counts: dict[tuple[str, int], list[int]] = {}
+    for url, y in zip(urls, blocked):
+        fold = _fold(url)
+        for k in _suffixes(*split_url(url)):
+            c = counts.setdefault((k, fold), [0, 0])
+            c[0] += y
+            c[1] += 1
+    return counts
 
 
 class BoostedTrees:
@@ -94,15 +113,16 @@ class BoostedTrees:
         self.n, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
         self.base, self.trees = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        p = (y.sum() + 0.5) / (len(y) + 1)
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+        w = np.ones(len(y)) if weights is None else weights
+        p = ((w * y).sum() + 0.5) / (w.sum() + 1)
         self.base = math.log(p / (1 - p))
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T] if len(x) else []
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1) if len(x) else x
         f = np.full(len(y), self.base)
         for _ in range(self.n if len(np.unique(y)) > 1 else 0):
             q = 1 / (1 + np.exp(-f))
-            grad, hess = y - q, q * (1 - q)
+            grad, hess = w * (y - q), w * q * (1 - q)
             tree: list[tuple] = []
             f += self.rate * self._grow(binned, edges, grad, hess, np.arange(len(y)), self.depth, tree, np.zeros(len(y)))
             self.trees.append(tree)
@@ -165,46 +185,59 @@ class UrlModel:
     """Probability that a url is to be blocked."""
 
     trees: BoostedTrees
-    stats: dict[str, tuple[float, float]]
     prior: float
+    totals: dict[str, list[int]]
 
     @classmethod
-    def fit(cls, urls: Sequence[str], blocked: Sequence[int], folds: int = 5) -> UrlModel:
-        """Suffix statistics of a training url come from the other folds, so trees can't read its label there."""
-        parts = [split_url(u) for u in urls]
+    def fit(
+        cls,
+        urls: Sequence[str],
+        blocked: Sequence[int],
+        counts: dict[tuple[str, int], list[int]] | None = None,
+        sizes: tuple[int, int] | None = None,
+    ) -> UrlModel:
+        """Suffix statistics of a training url come from the other folds, so trees can't read its label there.
+
+        counts and sizes, by label, cover all labelled urls; without them, those given are all.
+        """
         y = np.array(blocked, dtype=float)
-        prior = (y.sum() + 0.5) / (len(y) + 1)
-        per: list[dict[str, list[float]]] = [{} for _ in range(folds)]
-        for i, (host, path) in enumerate(parts):
-            for k in _suffixes(host, path):
-                c = per[i % folds].setdefault(k, [0.0, 0.0])
-                c[0] += y[i]
-                c[1] += 1
-        total: dict[str, list[float]] = {}
-        for c in per:
-            for k, (a, n) in c.items():
-                t = total.setdefault(k, [0.0, 0.0])
-                t[0] += a
-                t[1] += n
+        counts = _suffix_counts(urls, blocked) if counts is None else counts
+        n0, n1 = sizes or (int((y == 0).sum()), int(y.sum()))
+        prior = (n1 + 0.5) / (n0 + n1 + 1)
+        totals: dict[str, list[int]] = {}
+        for (k, _), (a, n) in counts.items():
+            t = totals.setdefault(k, [0, 0])
+            t[0] += a
+            t[1] += n
         x = np.zeros((len(urls), len(NAMES)))
-        for fold in range(folds):
-            rest = {k: [a - per[fold].get(k, (0, 0))[0], n - per[fold].get(k, (0, 0))[1]] for k, (a, n) in total.items()}
-            stats = _key_stats({k: v for k, v in rest.items() if v[1]}, prior)
-            for i in range(fold, len(urls), folds):
-                x[i] = _features(urls[i], *parts[i], stats, prior)
-        return cls(BoostedTrees().fit(x, y), _key_stats(total, prior), prior)
+        for i, url in enumerate(urls):
+            parts, fold, keys = split_url(url), _fold(url), []
+            for k in _suffixes(*parts):
+                (a, n), own = totals.get(k, (0, 0)), counts.get((k, fold), (0, 0))
+                keys.append(_key_stats(a - own[0], n - own[1], prior) if n > own[1] else (prior, 0.0))
+            x[i] = _features(url, *parts, keys)
+        # Sampled urls stand for all of their label.
+        of = {0: n0 / max(1, int((y == 0).sum())), 1: n1 / max(1, int(y.sum()))}
+        return cls(BoostedTrees().fit(x, y, np.array([of[int(v)] for v in y])), prior, totals)
+
+    def judge(self, urls: Sequence[str], counts: Sequence[Sequence[tuple[int, int]]]) -> np.ndarray:
+        """Probabilities, by the counts (blocked, all) of each url's suffixes."""
+        rows = [
+            _features(u, *split_url(u), [_key_stats(a, n, self.prior) if n else (self.prior, 0.0) for a, n in c])
+            for u, c in zip(urls, counts)
+        ]
+        return self.trees.probability(np.array(rows).reshape(len(urls), len(NAMES)))
 
     def probability(self, urls: Sequence[str]) -> np.ndarray:
-        x = np.array([_features(u, *split_url(u), self.stats, self.prior) for u in urls]).reshape(len(urls), len(NAMES))
-        return self.trees.probability(x)
+        return self.judge(urls, [[self.totals.get(k, (0, 0)) for k in _suffixes(*split_url(u))] for u in urls])
 
 
 def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row of ``pages`` (page_id, url).
 
     rule is the pattern that fits or null; verdict is its, else the model's: block where block_score, the
-    model's probability, reaches the threshold. At most ``max_labelled`` distinct urls with a rule, those
-    of least hash, train the model. Null urls and such without ``://`` have empty host and path and are
+    model's probability, reaches the threshold. Suffix statistics count all distinct urls with a rule; at
+    most ``max_labelled`` of them, of both labels alike, train the trees. Null urls and such without ``://`` have empty host and path and are
     judged by the model as the empty url. Without labels of both kinds every url gets the prior. Repeated
     rows are judged alike; an empty table gives no rows.
     """
@@ -220,22 +253,61 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
                 names=["url", "blocked"],
             )
 
-    sample = (
-        lean.select("url")
-        .mapInArrow(label, "url string, blocked int")
-        .distinct()
-        .orderBy(F.expr("xxhash64(url, 2)"), "url")
-        .limit(max_labelled)
-        .collect()
+    labelled = materialise(lean.select("url").mapInArrow(label, "url string, blocked int").distinct(), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = _suffix_counts(batch.column("url").to_pylist(), batch.column("blocked").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _ in counts], pa.string()),
+                    pa.array([f for _, f in counts], pa.int32()),
+                    pa.array([a for a, _ in counts.values()], pa.int64()),
+                    pa.array([n for _, n in counts.values()], pa.int64()),
+                ],
+                names=["k", "fold", "y", "n"],
+            )
+
+    stats = materialise(
+        labelled.mapInArrow(count, "k string, fold int, y long, n long")
+        .groupBy("k", "fold")
+        .agg(F.sum("y").alias("y"), F.sum("n").alias("n")),
+        "suffixes",
     )
-    model = spark.sparkContext.broadcast(UrlModel.fit([r["url"] for r in sample], [r["blocked"] for r in sample]))
+    totals = stats.groupBy("k").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    by_label = {r["blocked"]: r["count"] for r in labelled.groupBy("blocked").count().collect()}
+    n0, n1 = by_label.get(0, 0), by_label.get(1, 0)
+    take1 = min(n1, max(max_labelled // 2, max_labelled - n0))
+    sample = [
+        (r["url"], y)
+        for y, most in ((0, max_labelled - take1), (1, take1))
+        for r in labelled.filter(F.col("blocked") == y).orderBy(F.expr("xxhash64(url, 2)"), "url").limit(most).collect()
+    ]
+    own = {k for u, _ in sample for k in _suffixes(*split_url(u))}
+    found = stats.join(F.broadcast(spark.createDataFrame([(k,) for k in own], "k string")), "k", "left_semi").toArrow()
+    counts = {(k, f): [a, n] for k, f, a, n in zip(*(found.column(c).to_pylist() for c in ("k", "fold", "y", "n")))}
+    fitted = UrlModel.fit([u for u, _ in sample], [y for _, y in sample], counts, (n0, n1))
+    # The rows bring their own counts along, so those of the sample stay here.
+    model = spark.sparkContext.broadcast(UrlModel(fitted.trees, fitted.prior, {}))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [_suffixes(*split_url(u or "")) for u in batch.column("url").to_pylist()]
+            cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["page_id", "url", "k0", "k1", "k2"])
+
+    wide = lean.mapInArrow(suffixes, "page_id long, url string, k0 string, k1 string, k2 string")
+    for i in range(3):
+        wide = wide.join(totals.select(F.col("k").alias(f"k{i}"), F.col("y").alias(f"y{i}"), F.col("n").alias(f"n{i}")), f"k{i}", "left")
+    wide = wide.select("page_id", "url", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for i in range(3) for c in (f"y{i}", f"n{i}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             urls = [u or "" for u in batch.column("url").to_pylist()]
             parts = [split_url(u) for u in urls]
             found = [rules.match(*p) for p in parts]
-            p = model.value.probability(urls) if urls else np.array([])
+            pairs = [zip(batch.column(f"y{i}").to_pylist(), batch.column(f"n{i}").to_pylist()) for i in range(3)]
+            p = model.value.judge(urls, list(zip(*pairs))) if urls else np.array([])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
@@ -248,7 +320,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
                 names=["page_id", "host", "path", "rule", "verdict", "block_score"],
             )
 
-    return lean.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_score double")
+    return wide.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_score double")
 
 
 OP2_RULES = Rules(

@@ -3,7 +3,7 @@
 import numpy as np
 from helpers import rng
 
-from glossa.llm.urls import OP2_RULES, BoostedTrees, UrlModel, judge, split_url
+from glossa.llm.urls import OP2_RULES, BoostedTrees, Rules, UrlModel, judge, split_url
 
 
 def test_split():
@@ -50,3 +50,24 @@ def test_table(spark):
     assert (by[1]["rule"], by[1]["verdict"]) == ("example.com/en/", "block") and by[4]["rule"] is None
     assert (by[2]["host"], by[2]["path"], by[3]["host"]) == ("", "", "") and by[None]["verdict"] == "block" and by[5]["verdict"] == "allow"
     assert judge(df.limit(0), OP2_RULES).count() == 0
+
+
+def judged(spark, urls, rules, most):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in judge(df, rules, max_labelled=most).collect()}
+    assert len(got) == len(urls)
+    return [got[i] for i in range(len(urls))]
+
+
+def test_a_rare_verdict_is_sampled(spark):
+    # One label in forty is a block.
+    rows = [f"http://a{i}.com/q/{i}" for i in range(1500)] + [f"http://b{i}.net/es/{i}" for i in range(40)]
+    got = judged(spark, rows + [f"http://c{i}.net/q/{i}" for i in range(10)], OP2_RULES, 60)
+    assert all(r["block_score"] >= 0.5 for r in got[1540:]) and np.mean([r["block_score"] < 0.5 for r in got[:1500]]) > 0.95
+
+
+def test_suffixes_are_counted_beyond_the_sample(spark):
+    rules = Rules((("block", "x.com/"), ("allow", "y.com/")))
+    rows = [f"http://{'xy'[j % 2]}.com/s{j}/{i}" for j in range(400) for i in range(4)]
+    got = judged(spark, rows + [f"http://z.org/s{j}/5" for j in range(400)], rules, 200)[1600:]
+    assert np.mean([r["verdict"] == ("block", "allow")[j % 2] for j, r in enumerate(got)]) > 0.9
