@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Where the vocabulary files of public tokenizers lie; operators take another folder as a parameter.
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -84,6 +88,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` returns, made once per worker process and kept for its later tasks.
+
+    A worker keeps the state of one operator only, so what earlier ones held is free again.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few of them are Python objects at a time."""
     for batch in batches:

@@ -3,7 +3,8 @@
 Each document costs ``linear * tokens + quadratic * tokens ** 2`` (attention is within documents). In
 windows of consecutive documents, descending documents go to the lowest-cost sequence that still has
 room for them; what fits nowhere whole is cut into the rooms that are left. Windows are packed where
-their rows lie, so nothing is shuffled and memory is bounded; each window pads one sequence at most.
+their rows lie, so nothing is shuffled and memory is bounded; a window's sequences are as few as hold
+its tokens, and together have less than one sequence of padding.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, read_table, rows, to_batch
+from .common import TOKENIZER_DIR, read_table, to_batch, worker_state
 from .tokens import WordBpe
+from .words import text_slices
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -29,6 +31,8 @@ _ARROW = pa.schema(
 )
 #: A window ends at so many documents or tokens; both bound a task's memory.
 WINDOW_DOCS, WINDOW_TOKENS = 4096, 4_000_000
+#: Bytes of text that are tokenised at once; a longer text is taken alone.
+SLICE = 4 << 20
 
 
 def assign(
@@ -91,40 +95,45 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = WordBpe(tokenizer_dir), np.array([end_id], dtype="<u4").tobytes()
+        bpe = worker_state(("WordBpe", tokenizer_dir), lambda: WordBpe(tokenizer_dir))
         base = TaskContext.get().partitionId() << 36
-        ids: list[bytes] = []
-        keys: list[int | None] = []
-        tokens = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        docs_held = tokens_held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal base, tokens
-            n = np.array([len(b) // 4 for b in ids])
-            pieces = assign(n, capacity, linear, quadratic)
-            cols = [
-                [keys[d] for d, *_ in pieces],
-                [s for _, s, *_ in pieces],
-                [k for _, _, k, *_ in pieces],
-                [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + k)]) for d, s, k, *_ in pieces],
-                [int(n[d]) for d, *_ in pieces],
-                [base + q for *_, q, _ in pieces],
-                [o for *_, o in pieces],
-                [linear * k + quadratic * k * k for _, _, k, *_ in pieces],
-            ]
-            base += 1 + max((q for *_, q, _ in pieces), default=0)
-            ids.clear()
-            keys.clear()
-            tokens = 0
-            return to_batch(_ARROW, cols)
-
-        for part in rows(batches, 1_000_000):
-            for key, raw in zip(part["doc_id"], bpe.encode([t or "" for t in part["text"]])):
-                ids.append(raw + end)
-                keys.append(key)
-                tokens += len(raw) // 4 + 1
-                if len(ids) >= WINDOW_DOCS or tokens >= WINDOW_TOKENS:
+            nonlocal base, docs_held, tokens_held
+            keys = pa.concat_arrays([k for k, *_ in held])
+            n = np.concatenate([c for *_, c in held])
+            ids = memoryview(np.concatenate([i for _, i, _ in held])).cast("B")
+            at = np.cumsum(n) - n
+            d, start, length, seq, offset = np.array(assign(n, capacity, linear, quadratic), dtype=np.int64).reshape(-1, 5).T
+            first = at[d] + start
+            crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + length).tolist())]
+            batch = to_batch(
+                _ARROW,
+                [keys.take(pa.array(d)), start, length, crc, n[d], base + seq, offset, linear * length + quadratic * length * length],
+            )
+            base += 1 + int(seq.max(initial=0))
+            held.clear()
+            docs_held = tokens_held = 0
+            return batch
+
+        for part in text_slices(batches, SLICE):
+            ids, n = bpe.encode(part.column("text"))
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            # A window ends with the document that fills it.
+            ends, a, b = np.cumsum(n), 0, 0
+            while b < len(n):
+                done = int(ends[a - 1]) if a else 0
+                b = 1 + int(np.searchsorted(ends, done + WINDOW_TOKENS - tokens_held))
+                b = min(len(n), max(b, a + 1), a + WINDOW_DOCS - docs_held)
+                held.append((part.column("doc_id").slice(a, b - a), ids[done : ends[b - 1]], n[a:b]))
+                docs_held += b - a
+                tokens_held += int(ends[b - 1]) - done
+                if docs_held >= WINDOW_DOCS or tokens_held >= WINDOW_TOKENS:
                     yield flush()
-        if ids:
+                a = b
+        if held:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

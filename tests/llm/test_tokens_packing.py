@@ -1,15 +1,18 @@
 """Tokenizer adapter and packing: equality with the library, exact round trips, little padding."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, random_text, rng, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glossa.llm.packing import assign, pack
 from glossa.llm.tokens import WordBpe
+from glossa.llm.words import byte_hashes, char_hashes, text_slices
 
 BPE = WordBpe()
 
@@ -18,16 +21,36 @@ def ids(text):
     return np.array(BPE.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def encoded(texts, bpe=BPE):
+    flat, n = bpe.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n)
+    return [flat[e - k : e].tobytes() for e, k in zip(ends, n)]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=4))
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=40), max_size=4))
 def test_ids_equal_the_library(texts):
-    assert BPE.encode(texts) == [ids(t) for t in texts]
+    assert encoded(texts) == [ids(t) for t in texts]
+
+
+def test_a_full_table_forgets_and_still_agrees():
+    rnd, small = rng(3), WordBpe(cache=50)
+    for _ in range(20):
+        texts = [random_text(rnd, 80) for _ in range(10)] + [None, "’tis “odd” – and plain"]
+        assert encoded(texts, small) == [ids(t or "") for t in texts]
+    assert len(small.words) < 600
+
+
+def test_slices_keep_long_texts_whole():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10, None, "y" * 500, "", "z"]})
+    parts = list(text_slices(iter([batch]), 20))
+    assert [p.num_rows for p in parts] == [2, 1, 2] and pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
 
 
 def test_ids_equal_the_library_on_mixed_texts():
     rnd = rng(1)
     texts = [random_text(rnd, 60) for _ in range(300)] + ["", "don't we'll <|endoftext|> x", "É" * 50]
-    assert BPE.encode(texts) == [ids(t) for t in texts]
+    assert encoded(texts) == [ids(t) for t in texts]
 
 
 @settings(max_examples=100, deadline=None)
@@ -76,3 +99,16 @@ def test_pieces_rebuild_the_ids(spark):
 
 def test_empty_table(spark):
     assert pack(documents(spark, [])).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = rng(4)
+    texts = [random_text(rnd, 50) for _ in range(300)] + [None, "", "x" * 200, "x" * 199 + "y", "Ab aB AB", "é" * 70 + " É" * 3]
+    for run, split in (
+        (byte_hashes, lambda t: t.encode().lower().split()),
+        (char_hashes, lambda t: re.findall(r"\w+", "".join(c.lower()[0] for c in t))),
+    ):
+        h, per = run(pa.array(texts, pa.string()))
+        words = [w for t in texts for w in split(t or "")]
+        assert per.tolist() == [len(split(t or "")) for t in texts] and len(h) == len(words)
+        assert len(set(zip(h.tolist(), words))) == len(set(words)) == len(set(h.tolist()))
