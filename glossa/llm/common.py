@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -88,6 +89,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _STATE: dict[tuple, object] = {}
 
 
@@ -99,11 +101,18 @@ def worker_state(key: tuple, make: Callable[[], T]) -> T:
     if key not in _STATE:
         _STATE.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few of them are Python objects at a time."""
     for batch in batches:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import mix64
+from .common import mix64, release
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,6 +40,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20, col
             before = ends[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(a, b - a)
+            release()
             a = b
 
 
