@@ -1,117 +1,130 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their 4- and 5-character beginnings (inflected forms share them). From labelled
-examples the terms that go with the label are chosen by likelihood ratio; their document frequencies
-come from all documents. A text's neighbours among the examples are exact: blocks of examples are
-visited by descending upper bound until no bound reaches the k-th best cosine. Votes weigh 1 / (distance
-+ 0.05), and isotonic regression over leave-one-out votes turns them into probabilities.
+A bounded sample of labelled texts is indexed by all their words; a word's weight is its idf over all
+documents, times a factor that rises with its association with the label and never reaches 0. A text's
+neighbours among the examples are exact: blocks of examples are visited by descending upper bound until
+no bound reaches the k-th best cosine. Votes weigh 1 / (distance + 0.05), and isotonic regression over
+leave-one-out votes turns them into probabilities. A text is never its own neighbour, nor are its copies.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, WORD, materialise, read_table, slices
+from .common import read_table
+from .words import char_hashes, text_slices
 
 #: At most so many examples of each label, those of least hash, are learnt from and indexed.
 MAX_EXAMPLES = 4096
-#: At most so many terms; each must reach this likelihood ratio.
-MAX_TERMS, MIN_RATIO = 512, 25.0
+#: Least factor of a word, and the likelihood ratio at which the factor is a quarter.
+LEAST_FACTOR, HALF_RATIO = 0.02, 100.0
 NEIGHBOURS, BLOCK, SHOWN = 16, 64, 5
 THRESHOLD = 0.3
+#: Counts of so many words go in one row of a shuffle.
+CHUNK = 8192
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    """A word's terms: itself and its beginnings of 4 and 5 characters (a word may be its own beginning)."""
-    return (word, *(word[:k] + "*" for k in (4, 5) if len(word) >= k))
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """64-bit hashes of whole texts (a null text is empty)."""
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()], dtype=np.uint64)
 
 
-class Features(dict):
-    """word -> indices of its chosen terms, kept per worker."""
+def count_terms(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the known words of each text and how often it has them, and how many of these each text has."""
+    h, per = char_hashes(texts)
+    at = pc.fill_null(pc.index_in(pa.array(h), value_set=words), -1).to_numpy().astype(np.int64)
+    known = at >= 0
+    key = np.repeat(np.arange(len(per)), per)[known] * max(1, len(words)) + at[known]
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    doc, term = np.divmod(key[first], max(1, len(words)))
+    return term, np.diff(np.append(first, len(key))), np.bincount(doc, minlength=len(per))
 
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.index = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = tuple(self.index[t] for t in word_terms(word) if t in self.index)
-        if len(self) < CACHE_WORDS:
-            self[word] = out
-        return out
-
-    def counts(self, text: str | None) -> Counter:
-        return Counter(i for hit in filter(None, map(self.__getitem__, WORD.findall((text or "").lower()))) for i in hit)
+def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors as postings by (block, term), with the largest weight of each term in each block."""
+    """Unit vectors as postings by term; a term's entries give its largest weight in each block and where its postings lie."""
 
     keys: np.ndarray
-    width: int
-    top: np.ndarray = field(repr=False)
-    starts: np.ndarray = field(repr=False)
+    hashes: np.ndarray
+    entry_starts: np.ndarray = field(repr=False)
+    entry_block: np.ndarray = field(repr=False)
+    entry_top: np.ndarray = field(repr=False)
+    entry_first: np.ndarray = field(repr=False)
     at: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
+    blocks: int = 0
 
     @classmethod
-    def build(cls, keys: list[int], vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+    def build(cls, keys: np.ndarray, hashes: np.ndarray, per: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """Of vectors one after the other: ``per`` has each one's number of terms."""
+        n, own = len(keys), np.repeat(np.arange(len(keys)), per)
         # Examples that share their weightiest term lie together, so block maxima are tight.
-        order = sorted(range(len(keys)), key=lambda i: (max(vectors[i], key=vectors[i].get), keys[i]))
-        n_blocks = -(-len(keys) // block)
-        rows = [(pos // block * n_terms + t, pos, w) for pos, i in enumerate(order) for t, w in vectors[i].items()]
-        rows.sort()
-        slot = np.array([r[0] for r in rows], dtype=np.int64)
-        weight = np.array([r[2] for r in rows], dtype=float)
-        top = np.zeros(n_blocks * n_terms)
-        np.maximum.at(top, slot, weight)
-        starts = np.searchsorted(slot, np.arange(n_blocks * n_terms + 1))
-        own = np.array([keys[i] for i in order], dtype=np.int64)
-        return cls(own, block, top.reshape(n_blocks, n_terms), starts, np.array([r[1] for r in rows], dtype=np.int64), weight)
-
-    def search(self, query: dict[int, float], k: int, without: int | None = None, step: int = 8) -> list[tuple[float, int]]:
-        """The k highest (cosine, position), ties to the smaller key; cosines of 0 don't count.
-
-        Blocks are visited by descending bound, a few at a time, until the bound of the next is below the
-        k-th best cosine.
-        """
-        if not query or not len(self.keys):
-            return []
-        terms = np.fromiter(query, dtype=np.int64)
-        w = np.fromiter(query.values(), dtype=float)
-        bounds = self.top[:, terms] @ w
+        heavy = np.full(n, -1, dtype=np.int64)
+        by_weight = np.lexsort((terms, weights))
+        heavy[own[by_weight]] = terms[by_weight]
+        order = np.lexsort((keys, heavy))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        by_term = np.lexsort((place[own], terms))
+        t, at, w = terms[by_term], place[own][by_term], weights[by_term]
+        blk = at // block
+        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (blk[1:] != blk[:-1])])) if len(t) else np.zeros(0, dtype=np.int64)
+        top = np.maximum.reduceat(w, first) if len(t) else w
+        starts = np.searchsorted(t[first], np.arange(n_terms + 1))
+        return cls(
+            keys[order], hashes[order], starts, blk[first].astype(np.int32), top.astype(np.float32) * np.float32(1.000001),
+            np.append(first, len(t)), at.astype(np.int32), w.astype(np.float32), -(-n // block),
+        )
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, positions) of the k nearest, ties to the smaller key; cosines of 0 don't count, nor do
+        examples whose text has the hash ``without``. Blocks are visited by descending bound, until the bound
+        of the next is below the k-th best cosine."""
+        a = self.entry_starts[terms]
+        n = self.entry_starts[terms + 1] - a
+        entries = _expand(a, n)
+        block, w = self.entry_block[entries], np.repeat(weights, n)
+        bounds = np.bincount(block, weights=self.entry_top[entries] * w, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best, held = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for i in range(0, len(order), step):
-            if len(best) == k and bounds[order[i]] < best[-1] - 1e-9:
-                break
-            slots = (order[i : i + step, None] * self.top.shape[1] + terms).ravel()
-            a = self.starts[slots]
-            n = self.starts[slots + 1] - a
-            flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            part = self.weight[flat] * np.repeat(np.tile(w, len(slots) // len(w)), n)
-            scores = np.bincount(self.at[flat], weights=part)
-            pos = np.flatnonzero(scores)
+        left = int((bounds > 0).sum())
+        scores, done, bar = np.zeros(len(self.keys)), 0, 0.0
+        while done < left:
+            stop = min(left, done + step)
+            if bar:
+                stop = min(stop, int(np.searchsorted(-bounds[order[:left]], -(bar - 1e-6), side="right")))
+                if stop <= done:
+                    break
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[order[done:stop]] = True
+            some = np.flatnonzero(chosen[block])
+            first = self.entry_first[entries[some]]
+            length = self.entry_first[entries[some] + 1] - first
+            flat = _expand(first, length)
+            scores += np.bincount(self.at[flat], weights=self.weight[flat] * np.repeat(w[some], length), minlength=len(scores))
             if without is not None:
-                pos = pos[pos != without]
-            if len(best) == k:
-                pos = pos[scores[pos] > best[-1] - 1e-9]
-            if len(pos):
-                held = np.concatenate([held, pos])
-                best = np.concatenate([best, np.round(scores[pos], 12)])
-                top = np.lexsort((self.keys[held], -best))[:k]
-                held, best = held[top], best[top]
-        return list(zip(best.tolist(), held.tolist()))
+                scores[self.hashes == without] = 0.0
+            bar = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else 0.0
+            done, step = stop, 4 * step
+        found = np.flatnonzero((scores > 0) & (scores >= bar - 1e-9))
+        near = np.round(scores[found], 9)
+        best = np.lexsort((self.keys[found], -near))[:k]
+        return near[best], found[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[list[float], list[float]]:
@@ -128,36 +141,35 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    """words: hashes of all words of the examples; factors: their idf times their association with the label."""
+
+    words: np.ndarray
+    factors: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     weights: np.ndarray
-    blank: float
     prior: float
+    blank: float
     curve: tuple[list[float], list[float]] = ((), ())
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vectors(self, term: np.ndarray, n: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """Weights of the terms: vectors of length 1, one after the other."""
+        w = (1 + np.log(n)) * self.factors[term]
+        own = np.repeat(np.arange(len(per)), per)
+        return w / np.sqrt(np.bincount(own, weights=w * w, minlength=len(per)))[own]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        total, yes = 0.2, 0.2 * self.prior
-        for cos, pos in near:
-            w = float(self.weights[pos]) / (1.05 - min(cos, 1.0))
-            total += w
-            yes += w * float(self.labels[pos])
-        return yes / total
+    def vote(self, near: np.ndarray, at: np.ndarray) -> float:
+        w = self.weights[at] / (1.05 - np.minimum(near, 1.0))
+        return float((0.2 * self.prior + (w * self.labels[at]).sum()) / (0.2 + w.sum()))
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
+    def score(self, terms: np.ndarray, weights: np.ndarray, without: int | None) -> tuple[float, list[int]]:
         """Probability of the label, and the doc_ids of the nearest examples."""
-        near = self.index.search(self.vector(counts), NEIGHBOURS)
-        if not near:
+        near, at = self.index.search(terms, weights, NEIGHBOURS, without)
+        if not len(at):
             return self.blank, []
-        raw = self.vote(near)
+        raw = self.vote(near, at)
         p = float(np.interp(raw, *self.curve))
-        return min(1.0, max(0.0, 0.98 * p + 0.02 * raw)), [int(self.index.keys[pos]) for _, pos in near[:SHOWN]]
+        return min(1.0, max(0.0, 0.98 * p + 0.02 * raw)), self.index.keys[at[:SHOWN]].tolist()
 
 
 def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, dict[int, int]]:
@@ -187,159 +199,149 @@ def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame
     return rows, counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` (text) each word occurs, and the number of rows."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64), docs.count()
+    shared, schema = docs.sparkSession.sparkContext.broadcast(words), "k long, n binary"
+
+    def rows_of(n: np.ndarray) -> pa.RecordBatch:
+        ks = range(0, len(n), CHUNK)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k // CHUNK for k in ks], pa.int64()), pa.array([n[k : k + CHUNK].tobytes() for k in ks], pa.binary())], names=["k", "n"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value)
+        n, docs_ = np.zeros(len(known), dtype=np.int32), 0
+        for part in text_slices(batches):
+            n += np.bincount(count_terms(part.column("text"), known)[0], minlength=len(n)).astype(np.int32)
+            docs_ += part.num_rows
+        yield rows_of(np.append(n, np.int32(docs_)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column("k").to_pylist(), batch.column("n").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(n, dtype=np.int32).astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "n"])
+
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema).repartition("k").mapInArrow(add, schema).toArrow()
+    n = np.zeros(len(words) + 1, dtype=np.int64)
+    for k, raw in zip(got.column("k").to_pylist(), got.column("n").to_pylist()):
+        n[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(raw, dtype=np.int64)
+    return n[:-1], int(n[-1])
+
+
+def association(n1: np.ndarray, n0: np.ndarray, all1: float, all0: float) -> np.ndarray:
+    """A word's factor by the likelihood ratio of its examples (n1 of all1, n0 of all0): from LEAST_FACTOR to 1."""
+    if not all1 or not all0:
+        return np.ones(len(n1))
+    share = (n1 + n0) / (all1 + all0)
+    ratio = np.zeros(len(n1))
+    for o, m, g in ((n1, all1, share), (all1 - n1, all1, 1 - share), (n0, all0, share), (all0 - n0, all0, 1 - share)):
+        ratio += np.where(o > 0, 2 * o * np.log(np.maximum(o, 1e-9) / np.maximum(m * g, 1e-9)), 0.0)
+    return LEAST_FACTOR + (1 - LEAST_FACTOR) * (ratio / (ratio + HALF_RATIO)) ** 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text), held-out rows apart.
 
-    At most ``max_examples`` of each label are used; document frequencies cover all rows of ``docs``.
-    Null labels and ids are ignored, of several labels of an id the highest holds. Without labels, or
-    without terms that go with them, every score is the share of the label (1/2 if there is none).
+    At most ``max_examples`` of each label are used, each with all its words; document frequencies cover all
+    rows of ``docs``. Null labels and ids are ignored; of several labels of an id or of copies of a text the
+    highest holds. Without labels every score is 1/2, without examples of both the share of the label.
     """
     examples, counts = _examples(docs, labels, max_examples)
-    examples = materialise(examples, "examples")
-
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {0: Counter(), 1: Counter()}
-        for batch in slices(batches):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words = set(WORD.findall((text or "").lower()))
-                seen[label].update({t for w in words for t in word_terms(w)})
-                seen[label].update(("",))
-        terms = list(seen[0].keys() | seen[1].keys())
-        for k in range(0, len(terms), 50_000):
-            part = terms[k : k + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {"term": part, "n0": [seen[0][t] for t in part], "n1": [seen[1][t] for t in part]},
-                schema=pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())]),
-            )
-
-    stats = materialise(
-        examples.select("text", "label")
-        .mapInArrow(count_terms, "term string, n0 long, n1 long")
-        .groupBy("term")
-        .agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-        .filter("n1 > 2 or n0 > 20"),
-        "terms",
-    )
-    sizes = stats.filter("term = ''").first()
-    n0, n1 = (sizes["n0"], sizes["n1"]) if sizes else (0.0, 0.0)
-    terms: list[str] = []
-    if n0 and n1:
-        part = "if({o} > 0, {o} * ln({o} / ({m} * {g})), 0)"
-        share, rest = f"((n0 + n1) / {n0 + n1})", f"(1 - (n0 + n1) / {n0 + n1})"
-        ratio = " + ".join(
-            part.format(o=o, m=m, g=g)
-            for o, m, g in (("n1", n1, share), (f"({n1} - n1)", n1, rest), ("n0", n0, share), (f"({n0} - n0)", n0, rest))
-        )
-        top = stats.filter("term <> ''").withColumn("ratio", F.expr(f"2 * ({ratio})")).filter(F.col("ratio") >= MIN_RATIO)
-        terms = [r["term"] for r in top.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
-
-    def count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, df = Features(terms), Counter()
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                df[-1] += 1
-                df.update(features.counts(text).keys())
-        yield pa.RecordBatch.from_pydict(
-            {"t": list(df.keys()), "n": list(df.values())}, schema=pa.schema([("t", pa.int32()), ("n", pa.int64())])
-        )
 
-    df = {
-        r["t"]: r["n"]
-        for r in docs.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(count_docs, "t int, n long")
-        .groupBy("t")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    }
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(terms)
-        for batch in slices(batches):
-            found = [features.counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": batch.column("key"),
-                    "label": batch.column("label"),
-                    "t": pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())),
-                    "n": pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
-                }
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            h, per = char_hashes(part.column("text"))
+            off = pa.array(np.append(0, np.cumsum(per)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("key"), part.column("label"), pa.array(text_hashes(part.column("text")).view(np.int64)), pa.ListArray.from_arrays(off, pa.array(h))],
+                names=["key", "label", "hash", "w"],
             )
 
-    got = examples.select("text", "label", "key").mapInArrow(
-        example_rows, "key long, label int, t array<int>, n array<int>"
-    )
-    found = sorted((r["key"], r["label"], dict(zip(r["t"], r["n"]))) for r in got.collect())
-    return _model(found, counts, terms, idf)
-
-
-def _model(found: list[tuple[int, int, dict]], counts: dict[int, int], terms: list[str], idf: np.ndarray) -> Model:
-    n = {y: sum(1 for _, label, _ in found if label == y) for y in (0, 1)}
+    got = examples.select("text", "label", "key").mapInArrow(hashed, "key long, label int, hash long, w array<long>").toArrow().sort_by("key")
+    keys, label = got.column("key").to_numpy(), got.column("label").to_numpy().astype(float)
+    hashes = got.column("hash").to_numpy().view(np.uint64)
+    lists = got.column("w").combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    words, at = np.unique(flat, return_inverse=True)
+    key = np.repeat(np.arange(len(keys)), sizes) * max(1, len(words)) + at
+    key, n = np.unique(key, return_counts=True)
+    own, term = np.divmod(key, max(1, len(words)))
+    n1 = np.bincount(term, weights=label[own], minlength=len(words))
+    n0 = np.bincount(term, minlength=len(words)) - n1
+    df, rows = document_frequencies(docs, words)
+    idf = np.log((1 + rows) / (1 + df)) + 1
+    factors = idf * association(n1, n0, label.sum(), len(label) - label.sum())
+    return make_model(keys, hashes, label, term, n, np.bincount(own, minlength=len(keys)), words, factors, counts)
+
+
+def make_model(
+    keys: np.ndarray, hashes: np.ndarray, label: np.ndarray, term: np.ndarray, n: np.ndarray, per: np.ndarray, words: np.ndarray, factors: np.ndarray, counts: dict[int, int]
+) -> Model:
     total = counts.get(0, 0) + counts.get(1, 0)
     prior = counts.get(1, 0) / total if total else 0.5
     # Where a label was sampled, its examples stand for all that bear it.
-    weight = {y: counts.get(y, 0) / n[y] if n[y] else 1.0 for y in (0, 1)}
-    blank = [label for _, label, c in found if not c]
-    w1, w0 = blank.count(1) * weight[1], blank.count(0) * weight[0]
-    model = Model(
-        terms,
-        idf,
-        BlockMaxIndex.build([], [], len(terms)),
-        np.array([]),
-        np.array([]),
-        (w1 + prior) / (w1 + w0 + 1),
-        prior,
-    )
-    full = [(key, label, model.vector(Counter(c))) for key, label, c in found if c]
-    if not full:
+    of = np.array([counts.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)])
+    weight = of[label.astype(int)]
+    blank = per == 0
+    w1, w0 = (weight * label)[blank].sum(), (weight * (1 - label))[blank].sum()
+    model = Model(words, factors, BlockMaxIndex.build(keys[:0], hashes[:0], per[:0], term[:0], factors[:0], len(words)), label, weight, prior, float((w1 + prior) / (w1 + w0 + 1)))
+    if blank.all():
         return model
-    model.index = BlockMaxIndex.build([k for k, *_ in full], [v for *_, v in full], len(terms))
-    by_key = {k: (y, v) for k, y, v in full}
-    model.labels = np.array([by_key[int(k)][0] for k in model.index.keys], dtype=float)
-    model.weights = np.array([weight[int(y)] for y in model.labels])
-    model.weights /= model.weights.min()
-    raw = np.array(
-        [model.vote(model.index.search(by_key[int(k)][1], NEIGHBOURS, i)) for i, k in enumerate(model.index.keys)]
-    )
-    model.curve = isotonic(raw, model.labels, np.array([weight[int(y)] for y in model.labels]), prior)
+    vectors = model.vectors(term, n, per)
+    model.index = index = BlockMaxIndex.build(keys[~blank], hashes[~blank], per[~blank], term, vectors, len(words))
+    at = np.searchsorted(keys, index.keys)
+    model.labels, model.weights = label[at], weight[at] / weight[at].min()
+    ends = np.cumsum(per)
+    raw = []
+    for i in at:
+        part = slice(ends[i] - per[i], ends[i])
+        near, pos = index.search(term[part], vectors[part], NEIGHBOURS, hashes[i])
+        raw.append(model.vote(near, pos) if len(pos) else prior)
+    model.curve = isotonic(np.array(raw), model.labels, weight[at], prior)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (text, any others) with tox_score (0 to 1) and tox_evidence (doc_ids of near examples).
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("tox_score", "tox_evidence")) -> DataFrame:
+    """``docs`` (text, any others) with a score (0 to 1) and evidence (doc_ids of the nearest examples).
 
-    Whole texts are read; a null, empty or neutral text has the share of the label among such examples.
+    Whole texts are read; a null or empty text, or one without a word of any example, has the share of the
+    label among such examples. Equal texts have equal scores: examples of the same text take no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        features, known = Features(m.terms), {}
-        for batch in slices(batches):
+        words = pa.array(m.words)
+        for part in text_slices(batches):
+            texts = part.column("text").cast(pa.string())
+            term, n, per = count_terms(texts, words)
+            w, hashes, b = m.vectors(term, n, per), text_hashes(texts), 0
             scores, evidence = [], []
-            for text in batch.column("text").to_pylist():
-                counts = features.counts(text)
-                key = tuple(sorted(counts.items()))
-                if (got := known.get(key)) is None:
-                    got = m.score(counts)
-                    if len(known) < 20_000:
-                        known[key] = got
-                scores.append(got[0])
-                evidence.append(got[1])
+            for k, h in zip(per.tolist(), hashes):
+                a, b = b, b + k
+                s, e = m.score(term[a:b], w[a:b], h) if k else (m.blank, [])
+                scores.append(s)
+                evidence.append(e)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "tox_score", "tox_evidence"],
+                [*part.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=[*part.schema.names, *names]
             )
 
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_evidence", T.ArrayType(T.LongType()))]
-    )
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(T.LongType()))])
     return docs.mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``."""
-    return score(docs, fit(docs, labels)).filter(F.col("tox_score") < threshold).select(docs.columns)
+    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``, whatever their names."""
+    names = ["tox_score", "tox_evidence"]
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = [n + "_" for n in names]
+    return score(docs, fit(docs, labels), tuple(names)).filter(F.col(names[0]) < threshold).select(docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Nearest examples by brute force, calibration, and held-out accuracy."""
 
+import math
 import zlib
+from collections import Counter
 
 from helpers import documents, rng, words
 
-from glossa.llm.toxicity import BlockMaxIndex, fit, isotonic, reject_toxic, score
+from glossa.llm.toxicity import BlockMaxIndex, association, fit, isotonic, reject_toxic, score
 
 import numpy as np
 
@@ -38,12 +40,64 @@ def test_search_is_exact():
 
     vectors, keys = [vec() for _ in range(400)] + [{3: 1.0}] * 20, list(range(1000, 1420))
     rnd.shuffle(keys)
-    index = BlockMaxIndex.build(keys, vectors, 40, block=16)
-    for _ in range(50):
-        q = vec()
-        got = [(round(c, 12), int(index.keys[p])) for c, p in index.search(q, 10, step=1)]
-        want = sorted((-round(sum(q[t] * v.get(t, 0) for t in q), 12), k) for k, v in zip(keys, vectors))[:10]
-        assert np.allclose([c for c, _ in got], [-c for c, _ in want if c < 0], atol=1e-9)
+    flat = [(t, w) for v in vectors for t, w in sorted(v.items())]
+    hashes = np.arange(420, dtype=np.uint64) // 2
+    index = BlockMaxIndex.build(
+        np.array(keys), hashes, np.array([len(v) for v in vectors]), np.array([t for t, _ in flat]), np.array([w for _, w in flat]), 40, block=16
+    )
+    for i in range(50):
+        q, own = sorted(vec().items()), None if i % 2 else np.uint64(i)
+        near, at = index.search(np.array([t for t, _ in q]), np.array([w for _, w in q]), 10, own, step=1)
+        scored = [(-sum(w * v.get(t, 0) for t, w in q), k) for k, v, h in zip(keys, vectors, hashes) if own is None or h != own]
+        want = sorted(x for x in scored if x[0] < 0)[:10]
+        assert np.allclose(near, [-c for c, _ in want], atol=1e-6)
+        bar = -want[-1][0] - 1e-6
+        assert {int(k) for k, c in zip(index.keys[at], near) if c > bar + 2e-6} <= {k for _, k in want}
+
+
+def test_neighbours_equal_brute_force_over_all_words(spark):
+    rows, labels = corpus(150)
+    model = fit(documents(spark, rows), label_table(spark, labels))
+    texts = dict(rows)
+    df = Counter(w for t in texts.values() for w in set(t.split()))
+    sample = sorted(int(k) for k in model.index.keys)
+    assert set(sample) == {i for i, *_ in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    known = sorted({w for k in sample for w in texts[k].split()})
+    assert len(model.words) == len(known)
+    toxic = {i: t for i, _, t in labels}
+    n1, n0 = (Counter(w for k in sample if toxic[k] == y for w in set(texts[k].split())) for y in (1, 0))
+    all1 = sum(toxic[k] for k in sample)
+    factor = association(np.array([n1[w] for w in known], float), np.array([n0[w] for w in known], float), all1, len(sample) - all1)
+    assert (factor > 0).all()
+    weight = {w: (math.log((1 + len(rows)) / (1 + df[w])) + 1) * f for w, f in zip(known, factor)}
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in Counter(text.split()).items() if w in weight}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / n for w, x in v.items()}
+
+    vectors = {k: vector(texts[k]) for k in sample}
+    for r in score(documents(spark, rows), model).collect():
+        q = vector(r["text"])
+        want = sorted((-round(sum(x * vectors[k].get(w, 0) for w, x in q.items()), 6), k) for k in sample if texts[k] != r["text"])[:5]
+        cos = lambda k: sum(x * vectors[k].get(w, 0) for w, x in q.items())
+        assert np.allclose([cos(k) for k in r["tox_evidence"]], [-c for c, _ in want], atol=2e-6) and r["doc_id"] not in r["tox_evidence"]
+
+
+def test_equal_texts_score_alike_whatever_their_labels(spark):
+    rows, labels = corpus(200)
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    labels += [(1000 + i, 0, 1 - labels[i][2]) for i in range(40)]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r["tox_score"] for r in score(docs, fit(docs, label_table(spark, labels))).collect()}
+    assert all(got[i] == got[1000 + i] for i in range(40))
+
+
+def test_clashing_names(spark):
+    rows, labels = corpus(100)
+    docs = documents(spark, rows).withColumnRenamed("lang", "tox_score").withColumnRenamed("source", "Tox_Evidence_")
+    kept = reject_toxic(docs, label_table(spark, labels))
+    assert kept.columns == docs.columns and 50 < kept.count() < 100
 
 
 def test_isotonic_rises():
