@@ -28,6 +28,8 @@ MAX_EXAMPLES = 4096
 #: Least factor of a word, and the likelihood ratio at which the factor is a quarter.
 LEAST_FACTOR, HALF_RATIO = 0.02, 100.0
 NEIGHBOURS, BLOCK, SHOWN = 16, 64, 5
+#: Texts that search the index together, and bytes of text that a worker takes at once.
+TOGETHER, SLICE = 256, 3 << 20
 THRESHOLD = 0.3
 #: Counts of so many words go in one row of a shuffle.
 CHUNK = 8192
@@ -45,7 +47,7 @@ def count_terms(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarra
     known = at >= 0
     key = np.repeat(np.arange(len(per)), per)[known] * max(1, len(words)) + at[known]
     key.sort()
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    first = _firsts(key)
     doc, term = np.divmod(key[first], max(1, len(words)))
     return term, np.diff(np.append(first, len(key))), np.bincount(doc, minlength=len(per))
 
@@ -56,19 +58,26 @@ def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors as postings by term; a term's entries give its largest weight in each block and where its postings lie."""
+    """Unit vectors as postings by term. Terms that many examples have are kept as rows of a matrix instead,
+    with their largest weight in each block of examples."""
 
     keys: np.ndarray
     hashes: np.ndarray
-    entry_starts: np.ndarray = field(repr=False)
-    entry_block: np.ndarray = field(repr=False)
-    entry_top: np.ndarray = field(repr=False)
-    entry_first: np.ndarray = field(repr=False)
+    starts: np.ndarray = field(repr=False)
     at: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
-    blocks: int = 0
+    width: int = 64
 
     @classmethod
     def build(cls, keys: np.ndarray, hashes: np.ndarray, per: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
@@ -82,47 +91,91 @@ class BlockMaxIndex:
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
         by_term = np.lexsort((place[own], terms))
-        t, at, w = terms[by_term], place[own][by_term], weights[by_term]
-        blk = at // block
-        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (blk[1:] != blk[:-1])])) if len(t) else np.zeros(0, dtype=np.int64)
-        top = np.maximum.reduceat(w, first) if len(t) else w
-        starts = np.searchsorted(t[first], np.arange(n_terms + 1))
-        return cls(
-            keys[order], hashes[order], starts, blk[first].astype(np.int32), top.astype(np.float32) * np.float32(1.000001),
-            np.append(first, len(t)), at.astype(np.int32), w.astype(np.float32), -(-n // block),
-        )
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, positions) of the k nearest, ties to the smaller key; cosines of 0 don't count, nor do
-        examples whose text has the hash ``without``. Blocks are visited by descending bound, until the bound
-        of the next is below the k-th best cosine."""
-        a = self.entry_starts[terms]
-        n = self.entry_starts[terms + 1] - a
-        entries = _expand(a, n)
-        block, w = self.entry_block[entries], np.repeat(weights, n)
-        bounds = np.bincount(block, weights=self.entry_top[entries] * w, minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        left = int((bounds > 0).sum())
-        scores, done, bar = np.zeros(len(self.keys)), 0, 0.0
-        while done < left:
-            stop = min(left, done + step)
-            if bar:
-                stop = min(stop, int(np.searchsorted(-bounds[order[:left]], -(bar - 1e-6), side="right")))
-                if stop <= done:
-                    break
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[order[done:stop]] = True
-            some = np.flatnonzero(chosen[block])
-            first = self.entry_first[entries[some]]
-            length = self.entry_first[entries[some] + 1] - first
-            flat = _expand(first, length)
-            scores += np.bincount(self.at[flat], weights=self.weight[flat] * np.repeat(w[some], length), minlength=len(scores))
-            if without is not None:
-                scores[self.hashes == without] = 0.0
-            bar = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else 0.0
-            done, step = stop, 4 * step
-        found = np.flatnonzero((scores > 0) & (scores >= bar - 1e-9))
-        near = np.round(scores[found], 9)
+        starts = np.searchsorted(terms[by_term], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(keys[order], hashes[order], starts, place[own][by_term].astype(np.int32), weights[by_term], block)
+
+    def __getstate__(self) -> dict:
+        # Workers derive the rest anew, so it needn't travel.
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _prepare(self) -> None:
+        n, n_terms = len(self.keys), len(self.starts) - 1
+        self._blocks = -(-n // self.width)
+        # Rows pay where a multiplication costs less than following postings.
+        dense = np.flatnonzero(np.diff(self.starts) > max(16, n // 16))
+        self._row = np.full(n_terms, -1, dtype=np.int32)
+        self._row[dense] = np.arange(len(dense))
+        self._matrix = np.zeros((len(dense), self._blocks * self.width), dtype=np.float32)
+        term = np.repeat(self._row, np.diff(self.starts))
+        some = term >= 0
+        self._matrix[term[some], self.at[some]] = self.weight[some]
+        self._tops = self._matrix.reshape(len(dense), self._blocks, self.width).max(axis=2) if n else np.zeros((0, 0), np.float32)
+        by_vector = np.argsort(self.at, kind="stable")
+        self._v_term = np.repeat(np.arange(n_terms, dtype=np.int32), np.diff(self.starts))[by_vector]
+        self._v_weight = self.weight[by_vector]
+        self._v_starts = np.searchsorted(self.at[by_vector], np.arange(n + 1))
+        self._query = np.zeros(n_terms)
+
+    def search(
+        self, terms: np.ndarray, weights: np.ndarray, per: np.ndarray, k: int, without: np.ndarray | None = None, step: int = 8
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, positions) of each query's k nearest, ties to the smaller key; cosines of 0 don't count.
+
+        Queries lie one after the other (``per``: terms of each); examples whose text has a query's hash in
+        ``without`` are none of its neighbours. Postings of the rarer terms are added up first; a block's
+        bound is the best such sum in it and the block maxima of the others. Each query visits blocks by
+        descending bound, until the bounds of all others are below its k-th best cosine; what may be among
+        its k is scored exactly.
+        """
+        if not hasattr(self, "_matrix"):
+            self._prepare()
+        m, n, nb = len(per), len(self.keys), self._blocks
+        if not n:
+            return [(np.zeros(0), np.zeros(0, dtype=np.int64))] * m
+        doc = np.repeat(np.arange(m), per)
+        row = self._row[terms]
+        q = np.zeros((m, len(self._matrix)), dtype=np.float32)
+        q[doc[row >= 0], row[row >= 0]] = weights[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        first = self.starts[terms[rare]].astype(np.int64)
+        length = self.starts[terms[rare] + 1] - first
+        flat, size = _expand(first, length), nb * self.width
+        cell = np.repeat(doc[rare] * size, length) + self.at[flat]
+        scores = np.bincount(cell, weights=self.weight[flat] * np.repeat(weights[rare], length), minlength=m * size).astype(np.float32).reshape(m, size)
+        del flat, cell
+        if without is not None:
+            scores[:, :n][self.hashes[None, :] == without[:, None]] = -9.0
+        bounds = scores.reshape(m, nb, self.width).max(axis=2) + q @ self._tops
+        visited, bar, slack = np.zeros((m, nb), dtype=bool), np.zeros(m), 1e-5
+        while True:
+            open_ = ~visited & (bounds > 0) & (bounds >= bar[:, None] - slack)
+            if not open_.any():
+                break
+            if step < nb:
+                last = -np.partition(-np.where(open_, bounds, -1.0), step, axis=1)[:, step]
+                open_ &= bounds >= last[:, None]
+            visited |= open_
+            for b in np.flatnonzero(open_.any(axis=0)):
+                own = np.flatnonzero(open_[:, b])
+                cols = slice(b * self.width, (b + 1) * self.width)
+                scores[own, cols] += q[own] @ self._matrix[:, cols]
+            for i in np.flatnonzero(open_.any(axis=1)):
+                # Only what reaches the bar so far can lift it.
+                top = scores[i][scores[i] > bar[i]]
+                if len(top) >= k:
+                    bar[i] = np.partition(top, len(top) - k)[len(top) - k]
+            step *= 16
+        return [self._exact(terms[e - c : e], weights[e - c : e], np.flatnonzero((s > 0) & (s >= x - slack)), k) for e, c, s, x in zip(np.cumsum(per), per, scores, bar)]
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(found):
+            return np.zeros(0), found
+        self._query[terms] = weights
+        runs = [slice(a, b) for a, b in zip(self._v_starts[found].tolist(), self._v_starts[found + 1].tolist())]
+        parts = self._query[np.concatenate([self._v_term[r] for r in runs])] * np.concatenate([self._v_weight[r] for r in runs])
+        near = np.add.reduceat(parts, np.cumsum([0, *(r.stop - r.start for r in runs[:-1])]))
+        self._query[terms] = 0.0
+        near = np.round(near, 12)
         best = np.lexsort((self.keys[found], -near))[:k]
         return near[best], found[best]
 
@@ -162,9 +215,8 @@ class Model:
         w = self.weights[at] / (1.05 - np.minimum(near, 1.0))
         return float((0.2 * self.prior + (w * self.labels[at]).sum()) / (0.2 + w.sum()))
 
-    def score(self, terms: np.ndarray, weights: np.ndarray, without: int | None) -> tuple[float, list[int]]:
-        """Probability of the label, and the doc_ids of the nearest examples."""
-        near, at = self.index.search(terms, weights, NEIGHBOURS, without)
+    def score(self, near: np.ndarray, at: np.ndarray) -> tuple[float, list[int]]:
+        """Probability of the label by the nearest examples, and their doc_ids."""
         if not len(at):
             return self.blank, []
         raw = self.vote(near, at)
@@ -214,7 +266,7 @@ def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(shared.value)
         n, docs_ = np.zeros(len(known), dtype=np.int32), 0
-        for part in text_slices(batches):
+        for part in text_slices(batches, SLICE):
             n += np.bincount(count_terms(part.column("text"), known)[0], minlength=len(n)).astype(np.int32)
             docs_ += part.num_rows
         yield rows_of(np.append(n, np.int32(docs_)))
@@ -257,27 +309,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             h, per = char_hashes(part.column("text"))
-            off = pa.array(np.append(0, np.cumsum(per)).astype(np.int32))
+            own = np.repeat(np.arange(len(per)), per)
+            order = np.lexsort((h, own))
+            h, own = h[order], own[order]
+            first = _firsts(own, h)
+            off = pa.array(np.searchsorted(own[first], np.arange(len(per) + 1)).astype(np.int32))
+            n = np.diff(np.append(first, len(h))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("label"), pa.array(text_hashes(part.column("text")).view(np.int64)), pa.ListArray.from_arrays(off, pa.array(h))],
-                names=["key", "label", "hash", "w"],
+                [
+                    part.column("key"),
+                    part.column("label"),
+                    pa.array(text_hashes(part.column("text")).view(np.int64)),
+                    pa.ListArray.from_arrays(off, pa.array(h[first])),
+                    pa.ListArray.from_arrays(off, pa.array(n)),
+                ],
+                names=["key", "label", "hash", "w", "n"],
             )
 
-    got = examples.select("text", "label", "key").mapInArrow(hashed, "key long, label int, hash long, w array<long>").toArrow().sort_by("key")
+    schema = "key long, label int, hash long, w array<long>, n array<int>"
+    got = examples.select("text", "label", "key").mapInArrow(hashed, schema).toArrow().sort_by("key")
     keys, label = got.column("key").to_numpy(), got.column("label").to_numpy().astype(float)
     hashes = got.column("hash").to_numpy().view(np.uint64)
-    lists = got.column("w").combine_chunks()
-    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    words, at = np.unique(flat, return_inverse=True)
-    key = np.repeat(np.arange(len(keys)), sizes) * max(1, len(words)) + at
-    key, n = np.unique(key, return_counts=True)
-    own, term = np.divmod(key, max(1, len(words)))
+    lists, n = got.column("w").combine_chunks(), got.column("n").combine_chunks().flatten().to_numpy()
+    per = np.diff(lists.offsets.to_numpy())
+    words, term = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    own = np.repeat(np.arange(len(keys)), per)
+    del got, lists
     n1 = np.bincount(term, weights=label[own], minlength=len(words))
     n0 = np.bincount(term, minlength=len(words)) - n1
     df, rows = document_frequencies(docs, words)
     idf = np.log((1 + rows) / (1 + df)) + 1
     factors = idf * association(n1, n0, label.sum(), len(label) - label.sum())
-    return make_model(keys, hashes, label, term, n, np.bincount(own, minlength=len(keys)), words, factors, counts)
+    return make_model(keys, hashes, label, term, n, per, words, factors, counts)
 
 
 def make_model(
@@ -297,12 +360,12 @@ def make_model(
     model.index = index = BlockMaxIndex.build(keys[~blank], hashes[~blank], per[~blank], term, vectors, len(words))
     at = np.searchsorted(keys, index.keys)
     model.labels, model.weights = label[at], weight[at] / weight[at].min()
-    ends = np.cumsum(per)
-    raw = []
-    for i in at:
-        part = slice(ends[i] - per[i], ends[i])
-        near, pos = index.search(term[part], vectors[part], NEIGHBOURS, hashes[i])
-        raw.append(model.vote(near, pos) if len(pos) else prior)
+    starts, raw = np.cumsum(per) - per, []
+    for k in range(0, len(at), TOGETHER):
+        some = at[k : k + TOGETHER]
+        flat = _expand(starts[some], per[some])
+        for near, pos in index.search(term[flat], vectors[flat], per[some], NEIGHBOURS, hashes[some]):
+            raw.append(model.vote(near, pos) if len(pos) else prior)
     model.curve = isotonic(np.array(raw), model.labels, weight[at], prior)
     return model
 
@@ -318,16 +381,18 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("tox_score",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         words = pa.array(m.words)
-        for part in text_slices(batches):
+        for part in text_slices(batches, SLICE):
             texts = part.column("text").cast(pa.string())
             term, n, per = count_terms(texts, words)
-            w, hashes, b = m.vectors(term, n, per), text_hashes(texts), 0
+            w, hashes, ends = m.vectors(term, n, per), text_hashes(texts), np.append(0, np.cumsum(per))
             scores, evidence = [], []
-            for k, h in zip(per.tolist(), hashes):
-                a, b = b, b + k
-                s, e = m.score(term[a:b], w[a:b], h) if k else (m.blank, [])
-                scores.append(s)
-                evidence.append(e)
+            for k in range(0, len(per), TOGETHER):
+                own = per[k : k + TOGETHER]
+                part_ = slice(ends[k], ends[k + len(own)])
+                for near, at in m.index.search(term[part_], w[part_], own, NEIGHBOURS, hashes[k : k + TOGETHER]):
+                    s, e = m.score(near, at)
+                    scores.append(s)
+                    evidence.append(e)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=[*part.schema.names, *names]
             )

@@ -45,14 +45,16 @@ def test_search_is_exact():
     index = BlockMaxIndex.build(
         np.array(keys), hashes, np.array([len(v) for v in vectors]), np.array([t for t, _ in flat]), np.array([w for _, w in flat]), 40, block=16
     )
-    for i in range(50):
-        q, own = sorted(vec().items()), None if i % 2 else np.uint64(i)
-        near, at = index.search(np.array([t for t, _ in q]), np.array([w for _, w in q]), 10, own, step=1)
-        scored = [(-sum(w * v.get(t, 0) for t, w in q), k) for k, v, h in zip(keys, vectors, hashes) if own is None or h != own]
+    queries = [sorted(vec().items()) for _ in range(50)] + [[]]
+    none = np.uint64(999)
+    own = np.array([none if i % 2 else np.uint64(i) for i in range(51)])
+    flat = [x for q in queries for x in q]
+    per = np.array([len(q) for q in queries])
+    found = index.search(np.array([t for t, _ in flat]), np.array([w for _, w in flat]), per, 10, own, step=1)
+    for q, mine, (near, at) in zip(queries, own, found):
+        scored = [(-round(sum(w * v.get(t, 0) for t, w in q), 12), k) for k, v, h in zip(keys, vectors, hashes) if h != mine]
         want = sorted(x for x in scored if x[0] < 0)[:10]
-        assert np.allclose(near, [-c for c, _ in want], atol=1e-6)
-        bar = -want[-1][0] - 1e-6
-        assert {int(k) for k, c in zip(index.keys[at], near) if c > bar + 2e-6} <= {k for _, k in want}
+        assert np.allclose(near, [-c for c, _ in want], atol=1e-9) and index.keys[at].tolist() == [k for _, k in want]
 
 
 def test_neighbours_equal_brute_force_over_all_words(spark):
