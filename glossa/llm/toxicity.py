@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, release
 from .words import char_hashes, text_slices
 
 #: At most so many examples of each label, those of least hash, are learnt from and indexed.
@@ -29,7 +29,7 @@ MAX_EXAMPLES = 4096
 LEAST_FACTOR, HALF_RATIO = 0.02, 100.0
 NEIGHBOURS, BLOCK, SHOWN = 16, 64, 5
 #: Texts that search the index together, and bytes of text that a worker takes at once.
-TOGETHER, SLICE = 256, 3 << 20
+TOGETHER, SLICE = 64, 3 << 20
 THRESHOLD = 0.3
 #: Counts of so many words go in one row of a shuffle.
 CHUNK = 8192
@@ -98,6 +98,10 @@ class BlockMaxIndex:
         # Workers derive the rest anew, so it needn't travel.
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
+    def forget(self) -> None:
+        """Drop what searches derive from the postings; the next search derives it again."""
+        self.__dict__ = self.__getstate__()
+
     def _prepare(self) -> None:
         n, n_terms = len(self.keys), len(self.starts) - 1
         self._blocks = -(-n // self.width)
@@ -367,6 +371,8 @@ def make_model(
         for near, pos in index.search(term[flat], vectors[flat], per[some], NEIGHBOURS, hashes[some]):
             raw.append(model.vote(near, pos) if len(pos) else prior)
     model.curve = isotonic(np.array(raw), model.labels, weight[at], prior)
+    index.forget()
+    release()
     return model
 
 
