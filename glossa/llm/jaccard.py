@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, materialise, mix64, read_table, rows, to_batch
+from .common import materialise, mix64, read_table, release, to_batch
 from .graph import connected_components
+from .words import char_hashes, text_slices
 
 #: Members of a block; a cell holds two blocks at most.
 BLOCK = 256
@@ -63,19 +64,16 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_: int, seed: int = 7) -
     schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for part in rows(batches, 1_000_000):
-            words = [WORD.findall(t.lower()) if t else [] for t in part["text"]]
-            counts = np.array([len(w) for w in words])
-            flat = cache.array([x for w in words for x in w])
-            ends = np.cumsum(counts)
+        for part in text_slices(batches):
+            flat, counts = char_hashes(part.column("text"))
+            flat, ends = flat.view(np.uint64), np.cumsum(counts)
             keys = [
                 xxhash.xxh3_128_digest(flat[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts)
             ]
             grams, per = gram_hashes(flat, counts, n)
             has = per > 0
             starts = (np.cumsum(per) - per)[has]
-            out = np.zeros((len(words), bands), dtype=np.uint64)
+            out = np.zeros((len(counts), bands), dtype=np.uint64)
             if len(starts):
                 low = (grams >> np.uint64(20)).astype(np.uint32)
                 buf = np.empty_like(low)
@@ -89,7 +87,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_: int, seed: int = 7) -
             offsets = np.cumsum(np.append(0, np.where(has, bands, 0))).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(out[has].view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part["doc_id"], pa.int64()), pa.array(keys, pa.binary()), lists], schema=schema
+                [part.column("doc_id"), pa.array(keys, pa.binary()), lists], schema=schema
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -135,11 +133,11 @@ class _Sets:
     """Sorted distinct n-gram hashes of texts."""
 
     def __init__(self, n: int):
-        self.n, self.cache = n, WordHashes()
+        self.n = n
 
     def of(self, text: str) -> np.ndarray:
-        w = self.cache.array(WORD.findall(text.lower()))
-        return np.unique(gram_hashes(w, np.array([len(w)]), self.n)[0])
+        h, per = char_hashes(pa.array([text]))
+        return np.unique(gram_hashes(h.view(np.uint64), per, self.n)[0])
 
 
 def _root(parent: list[int], i: int) -> int:
@@ -184,6 +182,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int
             if len(out) > 5000:
                 yield to_batch(schema, zip(*out))
                 out = []
+                release()
         if out:
             yield to_batch(schema, zip(*out))
 
