@@ -25,8 +25,8 @@ from .words import char_hashes, text_slices
 
 #: At most so many examples of each label, those of least hash, are learnt from and indexed.
 MAX_EXAMPLES = 4096
-#: Least factor of a word, and the likelihood ratio at which the factor is a quarter.
-LEAST_FACTOR, HALF_RATIO = 0.02, 100.0
+#: Least factor of a word: that of words whose likelihood ratio may be chance.
+LEAST_FACTOR = 0.01
 NEIGHBOURS, BLOCK, SHOWN = 16, 64, 5
 #: Texts that search the index together, and bytes of text that a worker takes at once.
 TOGETHER, SLICE = 64, 3 << 20
@@ -298,7 +298,9 @@ def association(n1: np.ndarray, n0: np.ndarray, all1: float, all0: float) -> np.
     ratio = np.zeros(len(n1))
     for o, m, g in ((n1, all1, share), (all1 - n1, all1, 1 - share), (n0, all0, share), (all0 - n0, all0, 1 - share)):
         ratio += np.where(o > 0, 2 * o * np.log(np.maximum(o, 1e-9) / np.maximum(m * g, 1e-9)), 0.0)
-    return LEAST_FACTOR + (1 - LEAST_FACTOR) * (ratio / (ratio + HALF_RATIO)) ** 2
+    # Among so many words chance alone reaches twice the logarithm of their number; a quarter is given at 4 times that.
+    chance = 2 * np.log(max(2, len(n1)))
+    return LEAST_FACTOR + (1 - LEAST_FACTOR) * (ratio / (ratio + 4 * chance)) ** 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
