@@ -1,10 +1,11 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Components become integers. A block of vectors is indexed by posting segments: those components whose
-quantised magnitude lies in one range, by dimension. Queries visit segments by descending impact and add
-exact products, many queries at a time. What they haven't seen of a vector is bounded by Cauchy and
-Schwarz: the query's length times that of the vector's unseen components. A query ends only when that
-proves all but a few vectors to be out of its top k; those few are scored exactly from their rows.
+Components become integers. A block of vectors is indexed by posting segments: for each dimension, the
+vectors whose component there has a quantised magnitude (its impact) in one range, with those components.
+Queries visit segments by descending impact and add up products, many queries at a time. What they
+haven't seen of a vector is bounded by Cauchy and Schwarz: the query's length times that of the vector's
+unseen components. A query ends only when that proves all but a few vectors to be out of its top k; those
+few are scored exactly from their rows.
 """
 
 from __future__ import annotations
@@ -24,73 +25,83 @@ BLOCK, QUERIES = 16_384, 4_096
 #: Shares of the vectors' energy that the segments down to each one hold.
 ENERGY = (0.55, 0.8, 0.93, 0.99, 1.0)
 LEVELS = 64
-#: Queries that share a pass over a segment, and vectors that may be left for exact scores.
-TOGETHER, FEW = 128, 512
+#: Queries that share a pass over a segment; a query is done when it needs so few exact scores (or this share of them).
+TOGETHER, FEW, FEW_SHARE = 128, 2, 32
 
 
 class ImpactIndex:
-    """Vectors of one block with their posting segments by quantised magnitude."""
+    """Vectors of one block with their postings by impact range and dimension."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         size = np.abs(rows)
         self.top = int(size.max(initial=0))
-        exact = self.top < 2**20
-        self.kind = np.float32 if exact and self.top**2 * max(1, rows.shape[1]) < 2**24 else np.float64
-        self.dense = rows.astype(np.float64) if exact else None
-        unit = max(1, -(-(self.top + 1) // LEVELS))
-        level = size // unit
-        energy = np.bincount(level.ravel(), weights=rows.astype(np.float64).ravel() ** 2, minlength=LEVELS)[::-1].cumsum()
+        exact = rows.astype(np.float64)
+        self.norm = float(np.sqrt((exact**2).sum(axis=1)).max(initial=0))
+        # Sums below 2^24 are exact as 32-bit floats.
+        self.kind = np.float32 if self.top**2 * max(1, rows.shape[1]) < 2**24 else np.float64
+        level = size // max(1, -(-(self.top + 1) // LEVELS))
+        energy = np.bincount(level.ravel(), weights=exact.ravel() ** 2, minlength=LEVELS)[::-1].cumsum()
         cuts = sorted({int(LEVELS - 1 - np.searchsorted(energy, e * energy[-1] * (1 - 1e-12))) for e in ENERGY[:-1]} | {0}, reverse=True)
-        #: (dimension, vector) matrices of the components of each segment, and what is unseen after it.
-        self.segments, self.rest = [], []
+        #: By segment: postings (dimension, vectors, components), and the length of what is unseen after it.
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        self.rest: list[np.ndarray] = []
+        #: Segments that queries have visited.
+        self.visits = 0
         above = LEVELS
         for cut in cuts:
-            part = (level >= cut) & (level < above)
-            self.segments.append(np.where(part, rows, 0).T.astype(self.kind))
-            self.rest.append(np.sqrt(np.where(level < cut, rows.astype(np.float64) ** 2, 0).sum(axis=1)).astype(self.kind))
+            part = (level >= cut) & (level < above) & (rows != 0)
+            lists = []
+            for d in range(rows.shape[1]):
+                at = np.flatnonzero(part[:, d])
+                if len(at):
+                    lists.append((d, at.astype(np.int32), rows[at, d].astype(self.kind)))
+            self.segments.append(lists)
+            self.rest.append(np.sqrt(np.where(level < cut, exact**2, 0).sum(axis=1)))
             above = cut
 
     def scores(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.dense is not None and np.abs(query).max(initial=0) < 2**20:
-            return (self.dense[at] @ query.astype(np.float64)).astype(np.int64)
-        return (self.rows[at] * query).sum(axis=1)
+        """Exact integer scores; such beyond 63 bits raise OverflowError."""
+        if float(np.abs(query).max(initial=0)) * self.top * max(1, len(query)) < 2**62:
+            return (self.rows[at] * query).sum(axis=1)
+        return np.array((self.rows[at].astype(object) * query.astype(object)).sum(axis=1).tolist(), dtype=np.int64)
 
     def search(self, queries: np.ndarray, own: list[int | None], k: int) -> list[list[tuple[int, int]]]:
         """For each query (score, id) of the k best but its own id, best first, ties to the smaller id."""
-        n, out = len(self.ids), []
-        wide = np.abs(queries).max(initial=0) * self.top * max(1, queries.shape[1])
-        if n <= max(FEW, 8 * k) or self.dense is None or wide >= 2**50:
-            return [self._best(q, np.arange(n), k, o) for q, o in zip(queries, own)]
-        kind = self.kind if wide < 2**24 else np.float64
+        out = []
         for a in range(0, len(queries), TOGETHER):
-            out += self._together(queries[a : a + TOGETHER], own[a : a + TOGETHER], k, kind)
+            out += self._together(queries[a : a + TOGETHER], own[a : a + TOGETHER], k)
         return out
 
-    def _together(self, queries: np.ndarray, own: list[int | None], k: int, kind: type) -> list[list[tuple[int, int]]]:
-        found: list[list[tuple[int, int]] | None] = [None] * len(queries)
-        q = queries.astype(kind)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)).astype(kind)
-        open_ = np.arange(len(queries))
-        acc, bar = np.zeros((len(queries), len(self.ids)), dtype=kind), None
-        for s, (segment, rest) in enumerate(zip(self.segments, self.rest)):
-            acc += q[open_] @ segment
-            if bar is None:
+    def _together(self, queries: np.ndarray, own: list[int | None], k: int) -> list[list[tuple[int, int]]]:
+        n, found = len(self.ids), [None] * len(queries)
+        wide = float(np.abs(queries).max(initial=0)) * self.top * max(1, queries.shape[1])
+        kind = self.kind if wide < 2**24 else np.float64
+        q = queries.T.astype(kind)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        # Rounding of the sums and bounds.
+        slack = 1e-6 * (1 + length * self.norm)
+        few, bar = max(FEW * k, n // FEW_SHARE), np.full(len(queries), -np.inf)
+        open_, acc = np.arange(len(queries)), np.zeros((n, len(queries)), dtype=kind)
+        for s, (lists, rest) in enumerate(zip(self.segments, self.rest)):
+            for d, at, values in lists:
+                acc[at] += values[:, None].astype(kind) * q[d, open_]
+            self.visits += len(open_)
+            if s == 0 and n > k:
                 # Exact scores of the best so far: no member of the top k is below their k-th.
-                first = np.argpartition(acc, -4 * k, axis=1)[:, -4 * k :]
-                exact = np.einsum("qkd,qd->qk", self.dense[first], queries.astype(np.float64))
-                exact[self.ids[first] == np.array([np.iinfo(np.int64).min if o is None else o for o in own])[:, None]] = -np.inf
-                bar = np.partition(exact, -k, axis=1)[:, -k]
-            slack = 1e-5 * (1 + np.abs(bar[open_]))
-            possible = acc + length[open_, None] * rest >= (bar[open_] - slack)[:, None].astype(kind)
-            last = s == len(self.segments) - 1
-            ready = np.ones(len(open_), dtype=bool) if last else possible.sum(axis=1) <= FEW
+                for j in open_:
+                    first = np.argpartition(acc[:, j], -min(n, 4 * k))[-min(n, 4 * k) :]
+                    exact = self.scores(queries[j], first[self.ids[first] != own[j]] if own[j] is not None else first)
+                    if len(exact) >= k:
+                        bar[j] = np.partition(exact, len(exact) - k)[len(exact) - k]
+            possible = acc + rest[:, None] * length[open_] >= bar[open_] - slack[open_]
+            ready = possible.sum(axis=0) <= few if s < len(self.segments) - 1 else np.ones(len(open_), dtype=bool)
             for i in np.flatnonzero(ready):
                 j = open_[i]
-                found[j] = self._best(queries[j], np.flatnonzero(possible[i]), k, own[j])
-            open_, acc = open_[~ready], acc[~ready]
-            if not len(open_):
+                found[j] = self._best(queries[j], np.flatnonzero(possible[:, i]), k, own[j])
+            if ready.all():
                 break
+            open_, acc = open_[~ready], acc[:, ~ready]
         return found
 
     def _best(self, query: np.ndarray, at: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
@@ -116,6 +127,8 @@ def _integers(vectors: DataFrame, scale: float) -> DataFrame:
                     continue
                 x = np.floor(scale * np.array(v, dtype=np.float64))
                 if np.isfinite(x).all():
+                    if np.abs(x).max() >= 2.0**63:
+                        raise OverflowError(f"vector {key}: a scaled component exceeds 63 bits")
                     ids.append(key)
                     raw.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "v"])
@@ -144,7 +157,8 @@ def top_k(
 
     Null ids, null or empty vectors and those with null or non-finite components take no part. Missing
     components of shorter vectors count as 0. Repeated rows count once; an id with several vectors is
-    searched and found with each. Empty tables give no rows. Vectors and queries meet block by block.
+    searched and found with each. Empty tables give no rows. Scaled components and scores beyond 63 bits
+    raise an error instead of wrapping. Vectors and queries meet block by block.
     """
     pick = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")]
     v, q = _integers(vectors.select(*pick), scale), _integers(queries.select(*pick), scale)

@@ -1,6 +1,7 @@
 """Exact top-k against brute force, with ties, odd vectors and small blocks."""
 
 import numpy as np
+import pytest
 from helpers import rng
 
 from glossa.llm.topk import ImpactIndex, top_k
@@ -21,6 +22,37 @@ def test_index_is_exact():
         assert got == list(zip(s[m][o].tolist(), ids[m][o].tolist()))
 
 
+@pytest.mark.parametrize("n", [3, 500, 5000])
+def test_segments_are_visited_at_every_size(n):
+    r = np.random.default_rng(n)
+    rows = np.floor(64 * r.normal(0, 0.3, (n, 64))).astype(np.int64)
+    ids = np.arange(n)
+    index, queries = ImpactIndex(ids, rows), rows[::20]
+    got = index.search(queries, ids[::20].tolist(), 20)
+    assert index.visits >= len(queries) and sum(len(p) for seg in index.segments for _, p, _ in seg) == (rows != 0).sum()
+    for hits, q, own in zip(got, queries, ids[::20]):
+        s = rows @ q
+        m = ids != own
+        o = np.lexsort((ids[m], -s[m]))[:20]
+        assert hits == list(zip(s[m][o].tolist(), ids[m][o].tolist()))
+
+
+def test_a_proof_ends_a_search_early():
+    r = np.random.default_rng(1)
+    rows = np.floor(r.normal(0, 1, (4000, 32)) * 2.0 ** -np.arange(32) * 4096).astype(np.int64)
+    index = ImpactIndex(np.arange(4000), rows)
+    index.search(rows[:200], [None] * 200, 5)
+    assert 200 <= index.visits < 200 * len(index.segments)
+
+
+def test_large_components_are_exact_or_refused():
+    rows = np.array([[2**40, 3], [2**40, 2], [-(2**40), 5], [1, 1]], dtype=np.int64)
+    index = ImpactIndex(np.arange(4), rows)
+    assert index.search(np.array([[2**20, 1]]), [None], 2) == [[(2**60 + 3, 0), (2**60 + 2, 1)]]
+    with pytest.raises(OverflowError):
+        index.search(np.array([[2**40, 1]]), [None], 2)
+
+
 def brute(rows, k):
     ok = {(i, tuple(int(np.floor(64.0 * x)) for x in v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     out = set()
