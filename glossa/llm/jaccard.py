@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, materialise, mix64, read_table, rows, to_batch
+from .common import WORD, WordHashes, materialise, mix64, read_table, release, rows, to_batch
 from .graph import connected_components
 
 #: Members of a block; a cell holds two blocks at most.
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_: int, seed: int = 7) -
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part["doc_id"], pa.int64()), pa.array(keys, pa.binary()), lists], schema=schema
             )
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, set_key binary, bands array<long>"
@@ -184,6 +185,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int
             if len(out) > 5000:
                 yield to_batch(schema, zip(*out))
                 out = []
+                release()
         if out:
             yield to_batch(schema, zip(*out))
 
