@@ -7,22 +7,21 @@ tag-class paths; pages are then extracted again from the containers on the winni
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table, slices
 from .urls import split_url
 
-#: Paths that a host keeps, and the share of its votes that each must have.
-HOST_PATHS, LEAST_SHARE = 5, 0.05
-#: Votes are integers, so their sums don't depend on the order.
-VOTE = 1000
-
+#: A page votes for containers with at least this part of the points of its best one, against its others.
+VOTE_PART = 1 / 8
+#: Pages that must vote for a path; what fewer pages agree on is no consensus.
+LEAST_VOTES = 2
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v \u0085    -   　]+")
@@ -53,6 +52,12 @@ NOISE = frozenset(
     " social related recommended recommendations trending widget widgets toolbar pagination pager skip complementary"
     " contentinfo search searchbox disclaimer paywall feedback".split()
 )
+#: Words that say only that an element is one.
+GENERIC = frozenset(
+    "area bar block box boxes button buttons col column container content el element form group head header inner item items"
+    " left link links list main module nav outer panel post posts right row section slot small large title top bottom unit"
+    " view wrap wrapper article page the my js a b".split()
+)
 HEADER = frozenset(("header", "masthead", "topbar"))
 _KEEP = frozenset(("with", "has", "no", "without"))
 
@@ -167,8 +172,9 @@ class Page:
             words = [cls, got.get("id", ""), got.get("role", "")]
         me = len(self.tag)
         self.tag.append(name)
-        # Very deep elements share the path of their ancestor, so paths stay short.
-        self.path.append(self.path[up] + ">" + kind if len(self.path[up]) < 2000 else self.path[up])
+        path = self.path[up] + ">" + kind
+        # A hash stands for what is above in very deep elements, so paths stay short and distinct.
+        self.path.append(path if len(path) < 2000 else "#" + xxhash.xxh3_128_hexdigest(path))
         self.parent.append(up)
         self.drop.append(self.drop[up] or self._noise(name, words, stack))
         stack.append(me)
@@ -187,12 +193,15 @@ class Page:
                 if tokens & _KEEP:
                     continue
                 hit = tokens & NOISE or (not inside and tokens & HEADER)
+                # Inside the article a name must say nothing else: related-work or notice-of-findings are its text.
+                if inside and not tokens <= NOISE | GENERIC:
+                    continue
                 if hit and (name not in ("article", "main") or tokens & {"comment", "comments", "ad", "ads", "advert", "related", "sponsored", "promo"}):
                     return True
         return False
 
     def containers(self) -> list[tuple[int, float]]:
-        """(element, points): each block's unlinked text counts for its container, half for the next one up."""
+        """(element, points), most first: each block's unlinked text counts for its container."""
         text: dict[tuple[int, int], list[int]] = {}
         for at, block, link, run in self.runs:
             if not self.drop[at]:
@@ -208,21 +217,14 @@ class Page:
                     c[1] += n * link
         points: dict[int, float] = {}
         for (home, _), (n, linked) in text.items():
-            p = max(0.0, n - 2.0 * linked)
-            if p:
-                points[home] = points.get(home, 0.0) + p
-                if home and self.parent[home] > 0:
-                    up = self.parent[home]
-                    points[up] = points.get(up, 0.0) + p / 2
-        best: dict[int, float] = {}
-        for at, p in points.items():
-            # An article or main element around a container stands for it.
-            top = at
-            while top > 0 and self.tag[top] not in ("article", "main"):
-                top = self.parent[top]
-            top = top if top > 0 else at
-            best[top] = best.get(top, 0.0) + p if top != at else best.get(top, 0.0) + p
-        return sorted(best.items(), key=lambda c: (-c[1], c[0]))
+            if n > 2 * linked:
+                # An article or main element around a container stands for it.
+                top = home
+                while top > 0 and self.tag[top] not in ("article", "main"):
+                    top = self.parent[top]
+                top = top or home
+                points[top] = points.get(top, 0.0) + n - 2.0 * linked
+        return sorted(points.items(), key=lambda c: (-c[1], c[0]))
 
     def extract(self, paths: set[str]) -> str:
         """The kept text on elements of these paths: blocks in page order, joined by an empty line."""
@@ -250,69 +252,65 @@ class Page:
         return True
 
 
-def _best(page: Page) -> tuple[str, float] | None:
+def voted_for(page: Page) -> dict[str, bool]:
+    """Of the paths of a page's containers, which it votes for."""
     found = page.containers()
-    return (page.path[found[0][0]], found[0][1]) if found else None
+    out: dict[str, bool] = {}
+    for at, p in found:
+        out[page.path[at]] = out.get(page.path[at], False) or p >= VOTE_PART * found[0][1]
+    return out
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: the paths that its pages' best containers vote for, most votes first.
+    """host, paths: the paths that most of the host's pages with such a container vote for (in order of paths).
 
-    A page's vote is shared by its containers in proportion to their points. Votes are added up in each
-    task before the shuffle, so a hot host costs no more than others.
+    Votes are added up in each task before the shuffle, so a hot host costs no more than others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes: Counter[tuple[str, str]] = Counter()
+        votes: dict[tuple[str, str], list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(votes)
             batch = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([h for h, _ in keys], pa.string()),
-                    pa.array([p for _, p in keys], pa.string()),
-                    pa.array([votes[k] for k in keys], pa.int64()),
+                    pa.array([h for h, _ in votes], pa.string()),
+                    pa.array([p for _, p in votes], pa.string()),
+                    pa.array([y for y, _ in votes.values()], pa.int64()),
+                    pa.array([n for _, n in votes.values()], pa.int64()),
                 ],
-                names=["host", "path", "votes"],
+                names=["host", "path", "yes", "pages"],
             )
             votes.clear()
             return batch
 
         for batch in slices(batches):
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                page = Page(html or "")
-                found = page.containers()[:3]
-                total = sum(p for _, p in found)
-                for at, p in found:
-                    if share := int(VOTE * p / total):
-                        votes[split_url(url)[0], page.path[at]] += share
+                host = split_url(url)[0]
+                for path, yes in voted_for(Page(html or "")).items():
+                    v = votes.setdefault((host, path), [0, 0])
+                    v[0] += yes
+                    v[1] += 1
             if len(votes) > 50_000:
                 yield out()
         yield out()
 
-    voted = pages.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    w = Window.partitionBy("host")
     return (
-        voted.withColumn("total", F.sum("votes").over(w))
-        .withColumn("place", F.row_number().over(w.orderBy(F.desc("votes"), "path")))
-        .filter((F.col("place") <= HOST_PATHS) & (F.col("votes") >= LEAST_SHARE * F.col("total")))
+        pages.mapInArrow(run, "host string, path string, yes long, pages long")
+        .groupBy("host", "path")
+        .agg(F.sum("yes").alias("yes"), F.sum("pages").alias("pages"))
+        .filter((2 * F.col("yes") > F.col("pages")) & (F.col("yes") >= LEAST_VOTES))
         .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("p"))
-        .select("host", F.col("p.path").alias("paths"))
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
     )
 
 
 def main_text(html: str | None, paths: list[str]) -> str:
-    """A page's text by its host's paths: its own best container if the host voted for that path, else the
-    first voted path on which the page has text, else its own best container, else the whole body."""
+    """A page's text on all winning paths of its host, in page order; if it has none there, that of the
+    containers it votes for itself, else of the whole body."""
     page = Page(html or "")
-    best = _best(page)
-    order = ([best[0]] if best and best[0] in paths else []) + [p for p in paths if not best or p != best[0]]
-    for path in [*order, *([best[0]] if best else []), ""]:
-        text = page.extract({path})
-        if text:
-            return text
-    return ""
+    if paths and (text := page.extract(set(paths))):
+        return text
+    return page.extract({p for p, yes in voted_for(page).items() if yes}) or page.extract({""})
 
 
 def extract(pages: DataFrame) -> DataFrame:

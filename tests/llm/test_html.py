@@ -37,7 +37,39 @@ def test_a_host_agrees_on_its_container(spark):
     voted = {r["host"]: r["paths"] for r in host_paths(pages(spark, rows)).collect()}
     assert voted["a.com"][0] == ">body>div.story-#"
     got = {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()}
-    assert got[0].startswith("the article")
+    assert got[0].startswith("the article") and got[9] == "brief article"
+
+
+def test_sibling_containers_are_both_text(spark):
+    body = "<div class='c{i}'><p>{a}</p></div><div class='x'><p>{b}</p></div><div class='sidebar'><p>side</p></div>"
+    rows = [(i, "http://a.com/", body.format(i=i, a=f"intro {i} " * 10, b="the story goes on " * 12)) for i in range(5)]
+    for r in extract(pages(spark, rows)).collect():
+        assert r["text"] == ("intro %d " % r["page_id"] * 10).strip() + "\n\n" + ("the story goes on " * 12).strip()
+
+
+def test_names_that_only_sound_like_noise():
+    main = "<main><p>one</p><section class='related-work'><p>two</p></section><div class='notice-of-findings'>three</div>{}</main>"
+    assert main_text(main.format("<div class='related-posts'>no</div><div class='ad box'>no</div><div id='comments'>no</div>"), []) == "one\n\ntwo\n\nthree"
+
+
+def test_a_rare_template_falls_back_to_its_own_container(spark):
+    rows = [(i, "http://a.com/", f"<div class='m'><p>{'common text ' * 20}</p></div>") for i in range(40)]
+    rows.append((40, "http://a.com/", "<section class='rare'><p>a page of its own kind</p></section>"))
+    got = {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()}
+    assert got[40] == "a page of its own kind" and got[1].startswith("common text")
+
+
+def test_equal_votes_and_deep_paths(spark):
+    two = "<div class='a'><p>same length one</p></div><div class='b'><p>same length two</p></div>"
+    voted = host_paths(pages(spark, [(1, "http://a.com/", two), (2, "http://a.com/", two)])).first()["paths"]
+    assert voted == [">div.a", ">div.b"] and main_text(two, voted) == "same length one\n\nsame length two"
+    deep = Page("<div class=long-name>" * 500 + "x")
+    assert len(set(deep.path)) == len(deep.path) and max(map(len, deep.path)) < 2100
+
+
+def test_clashing_columns(spark):
+    df = pages(spark, [(1, "http://a.com/", "<p>x y</p>")]).withColumnRenamed("host", "text")
+    assert extract(df).first()["text"] == "x y"
 
 
 def test_odd_rows(spark):
