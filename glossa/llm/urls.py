@@ -54,6 +54,11 @@ class Rules:
                     best = (pattern, verdict)
         return best
 
+    def restated(self) -> frozenset[str]:
+        """Suffix keys that would only give a rule back: the last label of its host and its first path segment."""
+        parts = [pattern.partition("/") for _, pattern in self.rules]
+        return frozenset(["s:" + h.rsplit(".", 1)[-1] for h, *_ in parts] + ["p:" + r.split("/")[0] for *_, r in parts if r])
+
 
 def _entropy(s: str) -> float:
     n = len(s)
@@ -75,7 +80,8 @@ def _suffixes(host: str, path: str) -> tuple[str, str, str]:
 
 
 def _fold(url: str) -> int:
-    return xxhash.xxh3_64_intdigest(url) % FOLDS
+    """The part of a url's host: urls of a host are never on both sides."""
+    return xxhash.xxh3_64_intdigest(split_url(url)[0]) % FOLDS
 
 
 def _features(url: str, host: str, path: str, keys: Sequence[tuple[float, float]]) -> list[float]:
@@ -94,12 +100,12 @@ def _key_stats(y: float, n: float, prior: float) -> tuple[float, float]:
     return (y + 4 * prior) / (n + 4), math.log1p(n)
 
 
-def _suffix_counts(urls: Sequence[str], blocked: Sequence[int]) -> dict[tuple[str, int], list[int]]:
-    """[blocked, all] of the urls by suffix and fold."""
+def _suffix_counts(urls: Sequence[str], blocked: Sequence[int], skip: frozenset[str] = frozenset()) -> dict[tuple[str, int], list[int]]:
+    """[blocked, all] of the urls by suffix and fold; suffixes in ``skip`` aren't counted."""
     counts: dict[tuple[str, int], list[int]] = {}
     for url, y in zip(urls, blocked):
         fold = _fold(url)
-        for k in _suffixes(*split_url(url)):
+        for k in set(_suffixes(*split_url(url))) - skip:
             c = counts.setdefault((k, fold), [0, 0])
             c[0] += y
             c[1] += 1
@@ -180,13 +186,30 @@ class BoostedTrees:
         return out
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The threshold of highest balanced accuracy (ties: the nearest to 1/2), and that accuracy."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    # Blocked from place i on: the blocked there and the allowed before are right.
+    right1 = np.append(np.cumsum(y[::-1])[::-1], 0) / y.sum()
+    right0 = np.append(0, np.cumsum(1 - y)) / (1 - y).sum()
+    cuts = np.concatenate([[0.0], (p[1:] + p[:-1]) / 2, [1.0]])
+    ok = np.concatenate([[True], p[1:] > p[:-1], [True]])
+    score = np.where(ok, (right1 + right0) / 2, -1)
+    best = np.lexsort((np.abs(cuts - 0.5), -np.round(score, 9)))[0]
+    return float(cuts[best]), float(score[best])
+
+
 @dataclass
 class UrlModel:
-    """Probability that a url is to be blocked."""
+    """Probability that a url is to be blocked. threshold and accuracy (balanced: the mean over both labels)
+    come from hosts that the trees behind them haven't seen; accuracy is None where no such hosts are labelled."""
 
     trees: BoostedTrees
     prior: float
     totals: dict[str, list[int]]
+    threshold: float = 0.5
+    accuracy: float | None = None
 
     @classmethod
     def fit(
@@ -218,7 +241,19 @@ class UrlModel:
             x[i] = _features(url, *parts, keys)
         # Sampled urls stand for all of their label.
         of = {0: n0 / max(1, int((y == 0).sum())), 1: n1 / max(1, int(y.sum()))}
-        return cls(BoostedTrees().fit(x, y, np.array([of[int(v)] for v in y])), prior, totals)
+        w = np.array([of[int(v)] for v in y])
+        model = cls(BoostedTrees().fit(x, y, w), prior, totals)
+        fold = np.array([_fold(u) for u in urls])
+        p = np.full(len(y), np.nan)
+        # Two parts are held out, so that few hosts don't decide.
+        for f in (0, 1):
+            rest = fold != f
+            if rest.any() and not rest.all():
+                p[~rest] = BoostedTrees().fit(x[rest], y[rest], w[rest]).probability(x[~rest])
+        seen = ~np.isnan(p)
+        if len(np.unique(y[seen])) == 2:
+            model.threshold, model.accuracy = best_threshold(p[seen], y[seen])
+        return model
 
     def judge(self, urls: Sequence[str], counts: Sequence[Sequence[tuple[int, int]]]) -> np.ndarray:
         """Probabilities, by the counts (blocked, all) of each url's suffixes."""
@@ -232,16 +267,17 @@ class UrlModel:
         return self.judge(urls, [[self.totals.get(k, (0, 0)) for k in _suffixes(*split_url(u))] for u in urls])
 
 
-def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, threshold: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row of ``pages`` (page_id, url).
 
-    rule is the pattern that fits or null; verdict is its, else the model's: block where block_score, the
-    model's probability, reaches the threshold. Suffix statistics count all distinct urls with a rule; at
-    most ``max_labelled`` of them, of both labels alike, train the trees. Null urls and such without ``://`` have empty host and path and are
+    rule is the pattern that fits or null (of equally long ones the last by code point); verdict is its,
+    else the model's: block where block_score, the model's probability, reaches the threshold, by default
+    the best one on hosts held out. Suffix statistics count all distinct urls with a rule, but no suffix
+    that a rule is made of; at most ``max_labelled`` urls, of both labels alike, train the trees. Null urls and such without ``://`` have empty host and path and are
     judged by the model as the empty url. Without labels of both kinds every url gets the prior. Repeated
     rows are judged alike; an empty table gives no rows.
     """
-    spark = pages.sparkSession
+    spark, skip = pages.sparkSession, rules.restated()
     lean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +293,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = _suffix_counts(batch.column("url").to_pylist(), batch.column("blocked").to_pylist())
+            counts = _suffix_counts(batch.column("url").to_pylist(), batch.column("blocked").to_pylist(), skip)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k for k, _ in counts], pa.string()),
@@ -287,6 +323,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
     found = stats.join(F.broadcast(spark.createDataFrame([(k,) for k in own], "k string")), "k", "left_semi").toArrow()
     counts = {(k, f): [a, n] for k, f, a, n in zip(*(found.column(c).to_pylist() for c in ("k", "fold", "y", "n")))}
     fitted = UrlModel.fit([u for u, _ in sample], [y for _, y in sample], counts, (n0, n1))
+    bar = fitted.threshold if threshold is None else threshold
     # The rows bring their own counts along, so those of the sample stay here.
     model = spark.sparkContext.broadcast(UrlModel(fitted.trees, fitted.prior, {}))
 
@@ -314,7 +351,7 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, max_labelled:
                     pa.array([h for h, _ in parts], pa.string()),
                     pa.array([q for _, q in parts], pa.string()),
                     pa.array([m[0] if m else None for m in found], pa.string()),
-                    pa.array([m[1] if m else "block" if s >= threshold else "allow" for m, s in zip(found, p)], pa.string()),
+                    pa.array([m[1] if m else "block" if s >= bar else "allow" for m, s in zip(found, p)], pa.string()),
                     pa.array(p, pa.float64()),
                 ],
                 names=["page_id", "host", "path", "rule", "verdict", "block_score"],

@@ -3,7 +3,7 @@
 import numpy as np
 from helpers import rng
 
-from glossa.llm.urls import OP2_RULES, BoostedTrees, Rules, UrlModel, judge, split_url
+from glossa.llm.urls import OP2_RULES, BoostedTrees, Rules, UrlModel, best_threshold, judge, split_url
 
 
 def test_split():
@@ -61,13 +61,34 @@ def judged(spark, urls, rules, most):
 
 def test_a_rare_verdict_is_sampled(spark):
     # One label in forty is a block.
-    rows = [f"http://a{i}.com/q/{i}" for i in range(1500)] + [f"http://b{i}.net/es/{i}" for i in range(40)]
-    got = judged(spark, rows + [f"http://c{i}.net/q/{i}" for i in range(10)], OP2_RULES, 60)
+    rows = [f"http://a{i}.com/q/{i}" for i in range(1500)] + [f"http://b-{i}-x.net/es/{i}" for i in range(40)]
+    got = judged(spark, rows + [f"http://c-{i}-y.org/q/{i}" for i in range(10)], OP2_RULES, 60)
     assert all(r["block_score"] >= 0.5 for r in got[1540:]) and np.mean([r["block_score"] < 0.5 for r in got[:1500]]) > 0.95
 
 
 def test_suffixes_are_counted_beyond_the_sample(spark):
     rules = Rules((("block", "x.com/"), ("allow", "y.com/")))
-    rows = [f"http://{'xy'[j % 2]}.com/s{j}/{i}" for j in range(400) for i in range(4)]
+    rows = [f"http://h{i}.{'xy'[j % 2]}.com/s{j}/{i}" for j in range(400) for i in range(4)]
     got = judged(spark, rows + [f"http://z.org/s{j}/5" for j in range(400)], rules, 200)[1600:]
     assert np.mean([r["verdict"] == ("block", "allow")[j % 2] for j, r in enumerate(got)]) > 0.9
+
+
+def test_what_a_rule_says_is_no_feature(spark):
+    assert OP2_RULES.restated() == {"s:com", "s:net", "p:en", "p:es", "p:fr"}
+    rows = [f"http://h{i}.com/q/{i}" for i in range(300)] + [f"http://h{i}.net/es/{i}" for i in range(300)]
+    got = judged(spark, rows + [f"http://h{i}.{t}/q/{i}" for t in ("net", "org") for i in range(50)], OP2_RULES, 1000)[600:]
+    assert [r["block_score"] for r in got[:50]] == [r["block_score"] for r in got[50:]]
+
+
+def test_thresholds_come_from_hosts_unseen():
+    train, test = urls(800, 3), urls(400, 4)
+    hosts = [(u.replace("blog.", f"b{i % 40}."), y) for i, (u, y) in enumerate(train)]
+    m = UrlModel.fit([u for u, _ in hosts], [y for _, y in hosts])
+    assert 0 < m.threshold < 1 and m.accuracy > 0.9
+    assert np.mean((m.probability([u for u, _ in test]) >= m.threshold) == np.array([y for _, y in test])) > 0.9
+    assert best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == (0.5, 1.0)
+
+
+def test_equally_long_rules():
+    rules = Rules((("allow", "a.com/x"), ("block", "b.com/x"), ("block", "com/xyz12")))
+    assert rules.match("a.com", "/xyz123") == ("com/xyz12", "block") and Rules((("allow", "a.b/x"), ("block", "b/x/y"))).match("a.b", "/x/y") == ("b/x/y", "block")
