@@ -43,12 +43,18 @@ def mention_id() -> Column:
 
 
 def sentence_context(mentions: DataFrame, sentences: DataFrame, sections: DataFrame) -> DataFrame:
-    """Mentions with the text of the sentence that holds their start (the whole section if none does)."""
-    s = sentences.select(*SECTION, "sentence_idx", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    placed = mentions.join(s, SECTION, "left").filter("s_start is null or (start >= s_start and start < s_end)")
-    return placed.join(sections.select(*SECTION, "text"), SECTION).withColumn(
-        "sentence", F.expr("if(s_start is null, text, substring(text, s_start + 1, s_end - s_start))")
-    ).drop("text", "s_start", "s_end")
+    """Mentions with the text of the sentence that holds their start (the whole section if none does).
+
+    Sentences and mentions are put in one order per section, so each mention finds the last sentence before
+    it without meeting the others; no mention is dropped.
+    """
+    spot = F.struct(F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    marks = sentences.select(*SECTION, F.col("start").alias("s_at"), spot.alias("s_spot"), F.lit(None).cast(mentions.select(F.struct("*")).schema[0].dataType).alias("m"))
+    asked = mentions.select(*SECTION, F.col("start").alias("s_at"), F.lit(None).cast("struct<s_start:int,s_end:int>").alias("s_spot"), F.struct("*").alias("m"))
+    order = Window.partitionBy(*SECTION).orderBy("s_at", F.col("m").isNotNull())
+    placed = marks.unionByName(asked).withColumn("s", F.last("s_spot", ignorenulls=True).over(order)).filter("m is not null")
+    sentence = F.expr("if(s is null or m.start >= s.s_end, text, substring(text, s.s_start + 1, s.s_end - s.s_start))")
+    return placed.join(sections.select(*SECTION, "text"), SECTION).select("m.*", sentence.alias("sentence"))
 
 
 def context_filter(

@@ -72,6 +72,32 @@ SELECT m AS match_norm, n AS syn_norm, false AS exact_match, score AS search_sco
 WHERE list_sort(regexp_extract_all(m, '[0-9]+')) = list_sort(regexp_extract_all(n, '[0-9]+'))
 UNION ALL SELECT m, m, true, -1.0 FROM q WHERE m IN (SELECT n FROM names)"""
 
+#: Two vocabularies of products and one of companies; product strings are sought in the first two.
+_SHELVES = {"small": "p_size < 26", "large": "p_size >= 26"}
+
+
+def link_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from each vocabulary of the mention's class, with an index for each."""
+    parts = table(spark, sf_dir, "part")
+    names = [parts.filter(c).select(F.lit(p).alias("parser"), F.lit("product").alias("entity_class"), F.upper("p_name").alias("syn_norm")) for p, c in _SHELVES.items()]
+    firms = table(spark, sf_dir, "supplier").select(F.lit("firms").alias("parser"), F.lit("company").alias("entity_class"), F.upper("s_name").alias("syn_norm"))
+    cands = names[0].unionByName(names[1]).unionByName(firms).distinct()
+    out = L.link_by_class(_perturbed(spark, sf_dir).withColumn("entity_class", F.lit("product")), cands, 5, X.numbers_match)
+    return out.select("parser", "entity_class", "match_norm", "syn_norm", "exact_match", F.coalesce(F.round("search_score", 6), F.lit(-1.0)).alias("search_score"))
+
+
+def _shelf_sql(parser: str, where: str) -> str:
+    own = f"SELECT DISTINCT upper(p_name) AS n FROM part WHERE {where}"
+    return f"""SELECT '{parser}' AS parser, 'product' AS entity_class, * FROM (WITH {_QUERIES}, shelf AS ({own}), {_tfidf('SELECT n FROM shelf', 'SELECT m FROM q', _pairs_sql)},
+    top AS (SELECT m, n, round(score, 6) AS score FROM scored WHERE m NOT IN (SELECT n FROM shelf)
+      QUALIFY row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, n) <= 5 AND score > 0)
+    SELECT m AS match_norm, n AS syn_norm, false AS exact_match, score AS search_score FROM top
+    WHERE list_sort(regexp_extract_all(m, '[0-9]+')) = list_sort(regexp_extract_all(n, '[0-9]+'))
+    UNION ALL SELECT m, m, true, -1.0 FROM q WHERE m IN (SELECT n FROM shelf))"""
+
+
+_BY_CLASS_SQL = " UNION ALL ".join(_shelf_sql(p, c) for p, c in _SHELVES.items())
+
 _TERMS = ("IL 2 TYPE 1 RECEPTOR", "IL 2", "TYPE I COLLAGEN", "TYPE 2 COLLAGEN LIKE", "RECEPTOR 2 1", "RECEPTOR 1 2", "GENE", "", "SUBUNIT 7 OF 7", "TYPE 1 TYPE 1")
 _TERMS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in _TERMS) + ") AS t(s)"
 
@@ -301,6 +327,7 @@ SELECT DISTINCT key, parser, idx, strategy, d AS disambiguation, CASE d WHEN 'no
 CATALOGUE = {
     "link_exact": (link_exact, f"WITH {_QUERIES} SELECT m AS match_norm, m IN (SELECT n FROM names) AS exact_match FROM q"),
     "link_tfidf_topk": (link_tfidf_topk, _TOPK_SQL),
+    "link_by_class": (link_by_class, _BY_CLASS_SQL),
     "link_candidates": (link_candidates, _LINK_SQL),
     "bool_number": (_boolean(X.numbers_match), _NUM_SQL),
     "bool_subtype": (_boolean(X.subtypes_match), _SUB_SQL),

@@ -62,7 +62,9 @@ _PLACED = MENTIONS + r""", sp AS (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?]+)(\s+)', '\1\2' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE length(text) > 0
 ), sq AS (SELECT doc_id, unnest(ps) AS w, generate_subscripts(ps, 1) AS i FROM sp),
 sr AS (SELECT doc_id, i, w, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS INTEGER) AS ss FROM sq),
-placed AS (SELECT m.*, rtrim(sr.w, ' ') AS sentence FROM mentions m JOIN sr ON m.doc_id = sr.doc_id AND m.s >= sr.ss AND m.s < sr.ss + length(rtrim(sr.w, ' ')))
+placed AS MATERIALIZED (
+  SELECT m.*, CASE WHEN m.s < sr.ss + length(rtrim(sr.w, ' ')) THEN rtrim(sr.w, ' ') ELSE (SELECT text FROM documents d WHERE d.doc_id = m.doc_id) END AS sentence
+  FROM mentions m ASOF LEFT JOIN (SELECT * FROM sr WHERE length(rtrim(w, ' ')) > 0) sr ON m.doc_id = sr.doc_id AND m.s >= sr.ss)
 """
 
 

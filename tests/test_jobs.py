@@ -32,6 +32,28 @@ def test_job(spark):
     assert [(r["doc_id"], r["step"]) for f in done.failed for r in f.collect()] == [(4, "admission")]
 
 
+def test_a_model_is_linked_in_the_vocabularies_of_its_class(spark):
+    more = spark.createDataFrame([("q", "drug", "7", "Baclophen", "baclophen", "x"), ("r", "gene", "8", "Baclofene", "baclofene", "x")], kb(spark).schema)
+    found = spark.createDataFrame([(1, 0, 4, 13, "Baclofene", "drug", "model", 100)], "doc_id long, section_idx int, start int, end int, match string, entity_class string, namespace string, confidence int")
+    job = default_pipeline(kb(spark).unionByName(more), cut=checkpointed, model=lambda sections: found)
+    assert list(job.steps) == ["dictionary", "model", "linking", "mapping", "abbreviations", "cleanup", "merge"]
+    done = job(docs(spark), names=["model", "linking"])
+    assert {(r["parser"], r["exact_match"]) for r in done.links.collect()} == {("p", False), ("q", False)}
+    with pytest.raises(ConfigurationError):
+        job.choose(["rules"])
+
+
+def test_short_forms_take_over_mentions_and_mappings(spark):
+    rows = [("p", "disease", "1", "Acute Myeloid Leukaemia", "acute myeloid leukaemia", "x"), ("p", "gene", "9", "AML", "aml", "x")]
+    vocabulary = spark.createDataFrame(rows, kb(spark).schema)
+    text = "Acute Myeloid Leukaemia (AML) is a form of cancer. AML is treatable."
+    done = default_pipeline(vocabulary, cut=checkpointed)(spark.createDataFrame([(1, text), (2, "AML alone")], "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["start"], r["match"], r["entity_class"]) for r in done.mentions.collect())
+    assert got == [(1, 0, "Acute Myeloid Leukaemia", "disease"), (1, 25, "AML", "disease"), (1, 51, "AML", "disease"), (2, 0, "AML", "gene")]
+    by = {r["ent_id"]: r["idx"] for r in done.mappings.collect()}
+    assert {(r["match"], by[r["ent_id"]]) for r in done.mentions.collect()} == {("Acute Myeloid Leukaemia", "1"), ("AML", "1"), ("AML", "9")}
+
+
 def test_choice_of_steps():
     p = Pipeline({"a": lambda t: t, "b": lambda t: t}, {"g": ["b", "a"]})
     assert p.choose() == ["a", "b"] and p.choose(["b"]) == ["b"] and p.choose(group="g") == ["a", "b"]

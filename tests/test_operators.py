@@ -163,3 +163,13 @@ def test_accuracy(spark):
     got = {r["entity_class"]: (r["tp"], r["fp"], r["fn"]) for r in V.ner_accuracy(gold, test).collect()}
     # A gold span that strictly holds the test span doesn't agree with it.
     assert got == {"x": (1, 1, 1), "y": (0, 1, 1)}
+
+
+def test_a_mention_outside_sentences_has_its_section(spark):
+    from glossa.operators import ner as N
+
+    secs = spark.createDataFrame([(1, 0, "na", "One. Two three.  ")], "doc_id long, section_idx int, name string, text string")
+    ments = spark.createDataFrame([(1, 0, 0), (1, 0, 5), (1, 0, 9), (1, 0, 16), (2, 0, 0)], "doc_id long, section_idx int, start int")
+    sents = spark.createDataFrame([(1, 0, 0, 0, 4), (1, 0, 1, 5, 15)], "doc_id long, section_idx int, sentence_idx int, start int, end int")
+    got = sorted((r["start"], r["sentence"]) for r in N.sentence_context(ments, sents, secs).collect())
+    assert got == [(0, "One."), (5, "Two three."), (9, "Two three."), (16, "One. Two three.  ")]
