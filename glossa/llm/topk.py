@@ -26,7 +26,7 @@ BLOCK, QUERIES = 16_384, 4_096
 ENERGY = (0.55, 0.8, 0.93, 0.99, 1.0)
 LEVELS = 64
 #: Queries that share a pass over a segment; a query is done when it needs so few exact scores (or this share of them).
-TOGETHER, FEW, FEW_SHARE = 128, 2, 32
+TOGETHER, FEW, FEW_SHARE = 32, 2, 16
 
 
 class ImpactIndex:
@@ -80,21 +80,25 @@ class ImpactIndex:
         q = queries.T.astype(kind)
         length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         # Rounding of the sums and bounds.
-        slack = 1e-6 * (1 + length * self.norm)
+        slack = 1e-5 * (1 + length * self.norm)
         few, bar = max(FEW * k, n // FEW_SHARE), np.full(len(queries), -np.inf)
         open_, acc = np.arange(len(queries)), np.zeros((n, len(queries)), dtype=kind)
         for s, (lists, rest) in enumerate(zip(self.segments, self.rest)):
             for d, at, values in lists:
-                acc[at] += values[:, None].astype(kind) * q[d, open_]
+                part = np.multiply.outer(values.astype(kind, copy=False), q[d, open_])
+                part += acc.take(at, axis=0)
+                acc[at] = part
             self.visits += len(open_)
             if s == 0 and n > k:
                 # Exact scores of the best so far: no member of the top k is below their k-th.
-                for j in open_:
-                    first = np.argpartition(acc[:, j], -min(n, 4 * k))[-min(n, 4 * k) :]
+                for j, own_acc in zip(open_, np.ascontiguousarray(acc.T)):
+                    first = np.argpartition(own_acc, -min(n, 4 * k))[-min(n, 4 * k) :]
                     exact = self.scores(queries[j], first[self.ids[first] != own[j]] if own[j] is not None else first)
                     if len(exact) >= k:
                         bar[j] = np.partition(exact, len(exact) - k)[len(exact) - k]
-            possible = acc + rest[:, None] * length[open_] >= bar[open_] - slack[open_]
+            possible = np.multiply.outer(rest.astype(kind), length[open_].astype(kind))
+            possible += acc
+            possible = possible >= (bar[open_] - slack[open_]).astype(kind)
             ready = possible.sum(axis=0) <= few if s < len(self.segments) - 1 else np.ones(len(open_), dtype=bool)
             for i in np.flatnonzero(ready):
                 j = open_[i]
