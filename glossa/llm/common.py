@@ -25,6 +25,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 WORD = re.compile(r"\w+")
 #: Words kept in a worker's hash cache; words beyond it are hashed again in each batch.
 CACHE_WORDS = 150_000
+#: Bytes of an Arrow batch on its way to a worker, about.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,7 +34,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     Only where that is unset (tests, one machine) a temporary folder is made and set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or _own_dir(spark)
     return f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}-{name}"
 
 
@@ -48,6 +53,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The table is removed when the driver ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
@@ -62,7 +68,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to workers hold about BATCH_BYTES, unless the session says otherwise: rows of long
+    texts would fill memory twice, in the executor and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -118,6 +133,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, size):
             yield batch.slice(k, size)
+    release()
 
 
 def rows(batches: Iterator[pa.RecordBatch], max_chars: int, column: str = "text") -> Iterator[dict[str, list]]:
