@@ -183,7 +183,8 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6, block
     n_docs counts its rows, n_near the other fingerprints within the Hamming radius: all of them. Tables
     of masked fingerprints are grouped; a crowded group is cut into blocks, each pair of which is a cell
     of bounded size, and a pair counts in the first table in which it meets. Null fingerprints are left
-    out; an empty table gives no rows.
+    out; an empty table gives no rows. The joins are merged at every size and never broadcast: a row in the
+    tables counts once per mask, which size estimates don't see.
     """
     masks = np.array(block_masks(radius, blocks), dtype=np.uint64)
     distinct = materialise(
@@ -201,7 +202,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6, block
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
     cells = (
-        spread.join(sizes, "bucket")
+        spread.join(sizes.hint("merge"), "bucket")
         .withColumn("nb", nb)
         .withColumn("blk", F.expr("cast(pmod(xxhash64(node, 23), nb) as int)"))
         .withColumn("other", F.expr("explode(sequence(0, nb - 1))"))
@@ -238,7 +239,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6, block
     found = cells.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_near"))
     return (
         distinct.withColumn("node", node)
-        .join(found, "node", "left")
+        .join(found.hint("merge"), "node", "left")
         .select("fingerprint", "n_docs", F.coalesce("n_near", F.lit(0)).alias("n_near"))
     )
 
@@ -246,7 +247,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6, block
 def with_near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """The rows of ``prints`` (fingerprint, any others) with n_docs and n_near of their fingerprints."""
     kept = materialise(prints, "fingerprints")
-    return kept.join(near_fingerprints(kept, radius, blocks), "fingerprint", "left").select(*kept.columns, "n_docs", "n_near")
+    return kept.join(near_fingerprints(kept, radius, blocks).hint("merge"), "fingerprint", "left").select(*kept.columns, "n_docs", "n_near")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,15 @@ def test_all_neighbours(spark):
         assert got == want
 
 
+def test_no_side_of_the_search_is_broadcast(spark):
+    rnd = rng(5)
+    table = spark.createDataFrame([(f"{rnd.getrandbits(64):016x}",) for _ in range(50)], "fingerprint string")
+    near = near_fingerprints(table)
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_the_query_finds_near_fingerprints(spark, tmp_path):
     rnd = rng(4)
     long = words(rnd, 3000, 2000)
