@@ -16,7 +16,7 @@ from .common import TOKENIZER_DIR, one_thread
 from .words import split_bytes
 
 #: Words whose ids a worker keeps, at most: about 40 bytes each. Where it is full the rarer half goes.
-CACHE = 600_000
+CACHE = 200_000
 #: Words that the library cuts and encodes at once.
 TOGETHER = 200_000
 _TOP = 0x180

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,8 @@ from helpers import documents, random_text, rng, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glossa.llm.packing import assign, pack
+from glossa.llm import words as words_module
+from glossa.llm.packing import SLICE, assign, pack
 from glossa.llm.tokens import WordBpe
 from glossa.llm.words import byte_hashes, char_hashes, text_slices
 
@@ -47,6 +49,28 @@ def test_slices_keep_long_texts_whole():
     assert [p.num_rows for p in parts] == [2, 1, 2] and pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
 
 
+def test_a_slice_takes_little_memory():
+    rnd, bpe = rng(6), WordBpe()
+    batch = pa.record_batch({"text": [" ".join(words(rnd, 200, 20_000)) for _ in range(4000)]})
+    tracemalloc.start()
+    n = [bpe.encode(part.column("text"))[1] for part in text_slices([batch], SLICE)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, n)) == 4000 and peak < 70e6
+
+
+def test_character_tables_take_little_memory(monkeypatch):
+    kept = [t.copy() for t in words_module._tables()]
+    monkeypatch.setattr(words_module, "_WORD", None)
+    monkeypatch.setattr(words_module, "_SMALL", None)
+    tracemalloc.start()
+    again = words_module._tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(kept, again)) and peak < 20e6
+    assert [bool(again[0][ord(c)]) for c in "a_é中 -"] == [True] * 4 + [False] * 2 and again[1][ord("É")] == ord("é")
+
+
 def test_ids_equal_the_library_on_mixed_texts():
     rnd = rng(1)
     texts = [random_text(rnd, 60) for _ in range(300)] + ["", "don't we'll <|endoftext|> x", "É" * 50]
