@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from helpers import rng
 
+from glossa.llm import topk
 from glossa.llm.topk import ImpactIndex, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -74,3 +75,28 @@ def test_table(spark):
     assert top_k(empty, empty).count() == 0
     few = spark.createDataFrame([(20, [1.0], 0), (21, [0.5], 0)], SCHEMA)
     assert [tuple(r) for r in top_k(few, few.filter("vec_id = 20")).collect()] == [(20, 1, 21, 2048)]
+
+
+def test_floors_end_searches_and_keep_ties():
+    r = np.random.default_rng(4)
+    rows = np.floor(64 * r.normal(0, 0.125, (6000, 64))).astype(np.int64)
+    rows[50:80] = rows[50]
+    index, queries = ImpactIndex(np.arange(6000), rows), rows[:200]
+    want = index.search(queries, list(range(200)), 20)
+    free = index.visits
+    got = index.search(queries, list(range(200)), 20, np.array([w[9][0] for w in want]))
+    assert index.visits - free <= free
+    for hits, w in zip(got, want):
+        assert [h for h in hits if h[0] >= w[9][0]] == [h for h in w if h[0] >= w[9][0]]
+
+
+def test_a_sample_bounds_what_cells_return(spark, monkeypatch):
+    r, sent, cells = np.random.default_rng(5), [], topk._cells
+    rows = [(i, [float(x) for x in np.float32(r.normal(0, 0.125, 16))]) for i in range(3000)] + [(20, [0.5] * 16)]
+    monkeypatch.setattr(topk, "_cells", lambda *a: sent.append(cells(*a)) or sent[-1])
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = top_k(df, df.filter("vec_id % 100 = 20"), 3, block=100)
+    want = {t for t in brute([(i, v) for i, v in rows], 3) if t[0] % 100 == 20}
+    assert {tuple(x) for x in got.collect()} == want
+    first, rest = (x.count() for x in sent)
+    assert first > 0 and rest < 31 * 30 * 3
