@@ -29,7 +29,7 @@ MAX_EXAMPLES = 4096
 LEAST_FACTOR = 0.01
 NEIGHBOURS, BLOCK, SHOWN = 16, 64, 5
 #: Texts that search the index together, and bytes of text that a worker takes at once.
-TOGETHER, SLICE = 64, 5 << 20
+TOGETHER, SLICE = 64, 2 << 20
 THRESHOLD = 0.3
 #: Counts of so many words go in one row of a shuffle.
 CHUNK = 8192
