@@ -29,7 +29,7 @@ def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.explode_tokens(K.section_tokens(sections(spark, sf_dir)))
+    return K.token_rows(sections(spark, sf_dir))
 
 
 def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
