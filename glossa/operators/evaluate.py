@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,16 +28,37 @@ def ner_accuracy(gold: DataFrame, test: DataFrame, strict: bool = True) -> DataF
     """
     if not strict:
         gold = gold.join(test.select("doc_id", "section_idx", "entity_class").distinct(), ["doc_id", "section_idx", "entity_class"], "left_semi")
-    pairs = span_pairs(gold, test)
-    g = gold.join(pairs.select(F.col("gold_id").alias("id")).distinct().withColumn("hit", F.lit(1)), "id", "left")
-    t = test.join(pairs.select(F.col("test_id").alias("id")).distinct().withColumn("hit", F.lit(1)), "id", "left")
-    a = g.groupBy("entity_class").agg(F.count("hit").alias("tp"), (F.count("*") - F.count("hit")).alias("fn"))
-    b = t.groupBy("entity_class").agg((F.count("*") - F.count("hit")).alias("fp"))
-    both = a.join(b, "entity_class", "full_outer").na.fill(0, ["tp", "fp", "fn"])
+    met = _agreements(gold, test)
+    is_gold, hit = F.col("is_gold"), F.col("hit")
+    count = lambda c: F.count(F.when(c, 1))
+    both = met.groupBy("entity_class").agg(count(is_gold & hit).alias("tp"), count(~is_gold & ~hit).alias("fp"), count(is_gold & ~hit).alias("fn"))
     p, r = rates(F.col("tp"), F.col("fp"), F.col("fn"))
     return both.select("entity_class", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"))
 
 
+def _agreements(gold: DataFrame, test: DataFrame) -> DataFrame:
+    """entity_class, is_gold, hit of all mentions: whether ``span_pairs`` has the mention in some pair.
+
+    Mentions are sorted within a section and class instead of paired. A gold end lies in a test span iff the
+    furthest end of the test spans that begin before it reaches it; a test span holds a gold end iff the next one
+    from its start is in it.
+    """
+    on = ["doc_id", "section_idx", "entity_class"]
+    rows = lambda df, is_gold: df.select(*on, "start", "end", F.lit(is_gold).alias("is_gold"))
+    out = rows(gold, True).unionByName(rows(test, False))
+    hit = F.lit(False)
+    for end in ("start", "end"):
+        # Of a gold mention this end, of a test mention its start.
+        out = out.withColumn(f"at_{end}", F.when(F.col("is_gold"), F.col(end)).otherwise(F.col("start")))
+        at, w = F.col(f"at_{end}"), Window.partitionBy(*on)
+        reach = F.max(F.when(~F.col("is_gold"), F.col("end"))).over(w.orderBy(at, "is_gold").rowsBetween(Window.unboundedPreceding, 0))
+        following = F.min(F.when(F.col("is_gold"), at)).over(w.orderBy(at.desc(), F.desc("is_gold")).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn(f"met_{end}", F.when(F.col("is_gold"), reach >= at).otherwise(following <= F.col("end")))
+        hit = hit | F.coalesce(f"met_{end}", F.lit(False))
+    known = F.col("doc_id").isNotNull() & F.col("section_idx").isNotNull() & F.col("entity_class").isNotNull()
+    return out.select("entity_class", "is_gold", (hit & known).alias("hit"))
+
+
 def link_accuracy(gold: DataFrame, test: DataFrame) -> DataFrame:
     """source, tp, fp, fn, precision, recall of (mention, source, idx) sets."""
     on = ["mention", "source", "idx"]
